@@ -39,3 +39,24 @@ QUERIES.update({
     "scrap_by_reason_part": lambda t: scrap.scrap_by_reason(t, as_of=Q, days_back=365, group_by_part=True),
     "scrap_trend": lambda t: scrap.scrap_trend(t, as_of=Q, weeks_back=16),
 })
+
+from castwork.operators import bridges  # noqa: E402
+from castwork.operators import signals  # noqa: E402
+
+QUERIES.update({
+    "job_window": bridges.job_window,
+    "job_pattern": bridges.job_pattern,
+    "job_heat": bridges.job_heat,
+    "job_board_item": bridges.job_board_item,
+    "wc_tag_resolved": bridges.wc_tag_resolved,
+    "match_rate": bridges.match_rate,
+    "match_pct": bridges.match_pct,
+    "unmatched": bridges.unmatched,
+    "unmatched_summary": bridges.unmatched_summary,
+    "multi_mapped_patterns": bridges.multi_mapped_patterns,
+    "ref_formats": bridges.ref_formats,
+    "reconciliation_report": bridges.reconciliation_report,
+    "match_rate_bounds": signals.match_rate_bounds,
+    "unmatched_coverage": signals.unmatched_coverage,
+    "job_heat_count": signals.job_heat_count,
+})
