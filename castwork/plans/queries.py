@@ -60,3 +60,22 @@ QUERIES.update({
     "unmatched_coverage": signals.unmatched_coverage,
     "job_heat_count": signals.job_heat_count,
 })
+
+from castwork.operators import jobs  # noqa: E402
+
+QUERIES.update({
+    "open_jobs": lambda t: jobs.open_jobs(t, as_of=Q),
+    "open_jobs_machine_30d": lambda t: jobs.open_jobs(t, as_of=Q, dept="MACHINE", due_within_days=30),
+    "job_header": lambda t: jobs.job_header(t, as_of=Q),
+    "job_operations": jobs.job_operations,
+    "job_scrap_by_reason": jobs.job_scrap_by_reason,
+    "job_labor_by_shift": jobs.job_labor_by_shift,
+    "job_cost": jobs.job_cost,
+    "job_scrap_pct": jobs.job_scrap_pct,
+    "unplanned_downtime": lambda t: jobs.unplanned_downtime(t, as_of=Q),
+    "remaining_hours": lambda t: decimals_to_double(jobs.remaining_hours(t)),
+    "bottleneck": lambda t: decimals_to_double(jobs.bottleneck(t)),
+    "at_risk_jobs": lambda t: jobs.at_risk_jobs(t, as_of=Q, horizon_days=30),
+    "at_risk_jobs_120d": lambda t: jobs.at_risk_jobs(t, as_of=Q, horizon_days=120),
+    "at_risk_summary": lambda t: jobs.at_risk_summary(t, as_of=Q),
+})
