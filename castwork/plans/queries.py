@@ -79,3 +79,20 @@ QUERIES.update({
     "at_risk_jobs_120d": lambda t: jobs.at_risk_jobs(t, as_of=Q, horizon_days=120),
     "at_risk_summary": lambda t: jobs.at_risk_summary(t, as_of=Q),
 })
+
+from castwork.operators import ops  # noqa: E402
+
+QUERIES.update({
+    "labor_efficiency_employee": lambda t: ops.labor_efficiency(t, as_of=Q, group_by="employee", days_back=120),
+    "labor_efficiency_shift": lambda t: ops.labor_efficiency(t, as_of=Q, group_by="shift", days_back=600),
+    "labor_efficiency_work_center": lambda t: ops.labor_efficiency(t, as_of=Q, group_by="work_center", days_back=600),
+    "labor_efficiency_part": lambda t: ops.labor_efficiency(t, as_of=Q, group_by="part", days_back=600),
+    "standard_vs_crew": lambda t: ops.standard_vs_crew(t, as_of=Q),
+    "work_center_load": lambda t: ops.work_center_load(t, as_of=Q, weeks_ahead=4),
+    "job_cost_summary_part": lambda t: ops.job_cost_summary(t, as_of=Q, group_by="part"),
+    "job_cost_summary_customer": lambda t: ops.job_cost_summary(t, as_of=Q, group_by="customer", days_back=600,
+                                                                closed_only=False),
+    "job_cost_summary_industry": lambda t: ops.job_cost_summary(t, as_of=Q, group_by="industry", days_back=600),
+    "job_cost_summary_month": lambda t: ops.job_cost_summary(t, as_of=Q, group_by="month", days_back=600,
+                                                             closed_only=False),
+})
