@@ -96,3 +96,21 @@ QUERIES.update({
     "job_cost_summary_month": lambda t: ops.job_cost_summary(t, as_of=Q, group_by="month", days_back=600,
                                                              closed_only=False),
 })
+
+from castwork.operators import anomalies  # noqa: E402
+
+QUERIES.update({
+    "scrap_spikes": lambda t: anomalies.scrap_spikes(t, as_of=Q),
+    "downtime_spikes": lambda t: anomalies.downtime_spikes(t, as_of=Q),
+    "efficiency_drift": lambda t: anomalies.efficiency_drift(t, as_of=Q),
+    "wrong_standards": lambda t: anomalies.wrong_standards(t, as_of=Q),
+    "reconciliation_gaps": anomalies.reconciliation_gaps,
+    "findings": lambda t: anomalies.findings(t, as_of=Q),
+    "top_reasons": lambda t: anomalies.top_reasons(t, as_of=Q),
+    "scrap_series": lambda t: anomalies.scrap_series(t, as_of=Q),
+    "dense_series": lambda t: anomalies.dense_series(t, as_of=Q),
+    "load_overview": lambda t: anomalies.load_overview(t, as_of=Q),
+    "load_share": lambda t: anomalies.load_share(t, as_of=Q),
+    "due_soon": lambda t: anomalies.due_soon(t, as_of=Q),
+    "kpi_counts": lambda t: anomalies.kpi_counts(t, as_of=Q),
+})
