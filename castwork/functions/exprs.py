@@ -142,3 +142,11 @@ def visitor_hash(forwarded_for: Column, real_ip: Column, salt: str) -> Column:
           .when(real_ip.isNotNull() & (real_ip != ""), real_ip)
           .otherwise(F.lit("unknown")))
     return F.substring(F.sha2(F.concat(F.lit(salt + ":"), ip), 256), 1, 32)
+
+
+def round_mean(x: Column, n: int = 2) -> Column:
+    """Half-up rounding for a mean of doubles whose summation order is not
+    fixed: a nudge of 1e-6 of the last kept unit puts an exact tie on the same
+    side whatever the order of the additions (which moves the sum by ~1e-15)."""
+    f = float(10 ** n)
+    return (F.floor(x.cast("double") * F.lit(f) + F.lit(0.5 + 1e-6)) / F.lit(f)).cast("double")

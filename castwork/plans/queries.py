@@ -114,3 +114,27 @@ QUERIES.update({
     "due_soon": lambda t: anomalies.due_soon(t, as_of=Q),
     "kpi_counts": lambda t: anomalies.kpi_counts(t, as_of=Q),
 })
+
+from castwork.operators import cross  # noqa: E402
+
+QUERIES.update({
+    "job_heats": cross.job_heats,
+    "heat_summary": lambda t: cross.heat_summary(t, as_of=Q),
+    "machine_signal": lambda t: cross.machine_signal(t),
+    "machine_downtime": cross.machine_downtime,
+    "customer_commitments": lambda t: cross.customer_commitments(t, as_of=Q),
+    "row_counts": signals.row_counts,
+    "reason_share_shift": lambda t: signals.reason_share_shift(t),
+    "level_decay": lambda t: signals.level_decay(t),
+    "tag_decay": lambda t: signals.tag_decay(t),
+    "mechanism_corr": lambda t: signals.mechanism_corr(t),
+    "linked_items": signals.linked_items,
+    "cohort_delta": lambda t: signals.cohort_delta(t),
+    "operator_prefix_count": lambda t: signals.operator_prefix_count(t, prefix="E-10"),
+    "family_overrun": lambda t: signals.family_overrun(t),
+    "overrun_operators": lambda t: signals.overrun_operators(t),
+    "event_rate_ratio": lambda t: signals.event_rate_ratio(t),
+    "open_jobs_at_wc": signals.open_jobs_at_wc,
+    "reason_variants": lambda t: signals.reason_variants(t),
+    "ratio_drift": lambda t: signals.ratio_drift(t),
+})
