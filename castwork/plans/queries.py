@@ -138,3 +138,19 @@ QUERIES.update({
     "reason_variants": lambda t: signals.reason_variants(t),
     "ratio_drift": lambda t: signals.ratio_drift(t),
 })
+
+from castwork.functions.exprs import week_start  # noqa: E402
+from castwork.operators import schedule  # noqa: E402
+
+QUERIES.update({
+    "week_starts": lambda t: t.job_head.where(~F.col("job_closed")).select(
+        "job_num", "req_due_date", week_start(F.col("req_due_date")).alias("week_start")),
+    "pending_ops": lambda t: schedule.pending_ops(t),
+    "centre_capacity": lambda t: schedule.centre_capacity(t, as_of=Q),
+    "schedule_segments": lambda t: schedule.segments(t, as_of=Q),
+    "schedule_centres": lambda t: schedule.centre_rollup(t, as_of=Q),
+    "schedule_totals": lambda t: schedule.schedule_totals(t, as_of=Q),
+    "schedule_unscheduled": lambda t: schedule.unscheduled(t, as_of=Q),
+    "schedule_day_usage": lambda t: schedule.day_usage(t, as_of=Q),
+    "schedule_families": lambda t: schedule.families(t, as_of=Q),
+})
