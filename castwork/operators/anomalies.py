@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from castwork.functions.exprs import (
@@ -238,9 +238,11 @@ def findings(t: Tables, *, as_of: dt.date, top: int = 8) -> DataFrame:
                "xref,erp,melt,historian,board",
                F.lit("How well do the four source systems reconcile, and what specifically does not match?"))
     allf = f1.unionByName(f2).unionByName(f3).unionByName(f4).unionByName(f5)
-    return (allf.withColumn("severity_rank", _severity_rank(F.col("severity")))
-            .orderBy("severity_rank", "detector", "det_order", "id").limit(top)
-            .select("id", "severity", "title", "detail", "sources", "ask", "severity_rank", "detector"))
+    keys = ["severity_rank", "detector", "det_order", "id"]
+    top_rows = allf.withColumn("severity_rank", _severity_rank(F.col("severity"))).orderBy(*keys).limit(top)
+    # A window over the (at most ``top``) kept rows only.
+    return (top_rows.withColumn("position", F.row_number().over(Window.orderBy(*keys)))
+            .select("position", "id", "severity", "title", "detail", "sources", "ask", "severity_rank", "detector"))
 
 
 # ---------------------------------------------------------------------------

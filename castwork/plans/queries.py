@@ -154,3 +154,19 @@ QUERIES.update({
     "schedule_day_usage": lambda t: schedule.day_usage(t, as_of=Q),
     "schedule_families": lambda t: schedule.families(t, as_of=Q),
 })
+
+from castwork.operators import catalog, metering  # noqa: E402
+from castwork.plans import result  # noqa: E402
+
+QUERIES.update({
+    "findings_fingerprint": lambda t: result.findings_fingerprint(anomalies.findings(t, as_of=Q)),
+    "schedule_fingerprint": lambda t: result.table_fingerprint(
+        schedule.segments(t, as_of=Q), ["wc_code", "day", "job_num", "oper_seq", "hours", "changeover", "late"]),
+    "catalog": catalog.catalog,
+    "page_job_oper": lambda t: decimals_to_double(catalog.page(t, "job_oper", limit=50, offset=100)),
+    "visitor_hash": lambda t: metering.visitors(t).select("event_id", "visitor"),
+    "daily_admission": metering.daily_admission,
+    "channel_admission": metering.channel_admission,
+    "monthly_budget": metering.monthly_budget,
+    "remaining_quota": metering.remaining_quota,
+})
