@@ -8,6 +8,11 @@ in one task. ``prefix_sum`` splits it in three steps:
    buckets (days, minutes), whatever the data size;
 3. the running total inside each (key, bucket) plus the bucket's offset.
 
+Step 1 reads the input a second time, but column-pruned to (key, bucket,
+value) and combined map-side, so what it shuffles is one row per (key,
+bucket) per task - not the rows. The join and the inner window share one
+(key, bucket) exchange of the rows.
+
 The bucket must be non-decreasing in the order (a coarser form of it: the
 due day, the minute of a timestamp). With exact (integer or decimal) values the
 result is identical to the one-window form.

@@ -33,6 +33,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # No per-call call-site capture while building plans (a batch job, not a notebook).
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
