@@ -138,8 +138,10 @@ def validate(tool: Tool, raw: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
-def run_tool(t: Tables, name: str, raw: dict[str, Any] | None = None, *, as_of: dt.date) -> Result:
-    """Errors are values; the DataFrames in a good result are lazy."""
+def run_tool(t: Tables, name: str, raw: dict[str, Any] | None = None, *, as_of: dt.date,
+             with_notes: bool = False) -> Result:
+    """Errors are values; the DataFrames in a good result are lazy.
+    ``with_notes`` adds the R07 caveats (small probes on the result)."""
     tool = TOOLS.get(name)
     if tool is None:
         return Result({}, (), [], error=f"Unknown tool: {name}")
@@ -149,4 +151,8 @@ def run_tool(t: Tables, name: str, raw: dict[str, Any] | None = None, *, as_of:
         return Result({}, tool.sources, [], error=f"Invalid input for {name}: {e}")
     if tool.uses_as_of:
         params["as_of"] = as_of
-    return Result(tool.run(t, **params), tool.sources, [])
+    res = Result(tool.run(t, **params), tool.sources, [])
+    if with_notes:
+        from castwork.plans.notes import add_notes
+        add_notes(name, res, params)
+    return res
