@@ -35,6 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # No per-call call-site capture while building plans (a batch job, not a notebook).
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # Tables bucketed on job_num join on (job_num, oper_seq) without a shuffle.
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
     )
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)

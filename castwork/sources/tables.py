@@ -48,6 +48,15 @@ SORT_KEYS = {
 }
 
 
+# ERP tables keyed (and joined) by job number, with their in-bucket sort.
+JOB_KEYED = {
+    "job_head": ["job_num"],
+    "job_oper": ["job_num", "oper_seq"],
+    "labor_dtl": ["job_num", "oper_seq"],
+    "scrap_dtl": ["job_num", "oper_seq"],
+}
+
+
 @dataclasses.dataclass(frozen=True)
 class Tables:
     part: DataFrame
@@ -79,14 +88,31 @@ class Tables:
     def from_parquet(spark: SparkSession, root: str) -> "Tables":
         return Tables(**{n: spark.read.parquet(os.path.join(root, n)) for n in TABLE_NAMES})
 
-    def materialize(self, root: str, files_per_table: int | None = None) -> "Tables":
+    def materialize(self, root: str, files_per_table: int | None = None,
+                    job_buckets: int | None = None, database: str | None = None) -> "Tables":
         """Write every table to ``root`` (a shared folder) and read it back.
 
         Cuts lineage (the written table survives executor loss) and gives the
         queries a columnar, sorted source to prune against. ``root`` must be a
         cluster-visible path, e.g. under ``spark.checkpoint.dir``.
+
+        ``job_buckets`` writes the job-keyed ERP tables bucketed (and sorted)
+        on ``job_num`` as catalogue tables of ``database`` located at
+        ``root``: joins and aggregates on the job key then read co-partitioned
+        buckets instead of shuffling the largest tables.
         """
         spark = self.part.sparkSession
+        if job_buckets:
+            db = database or "castwork_model"
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}'")
+            tables = {}
+            for name, df in self.items():
+                w = df.write.mode("overwrite").format("parquet")
+                if name in JOB_KEYED:
+                    w = w.bucketBy(job_buckets, "job_num").sortBy(*JOB_KEYED[name])
+                w.saveAsTable(f"{db}.{name}")
+                tables[name] = spark.table(f"{db}.{name}")
+            return Tables(**tables)
         for name, df in self.items():
             out = df
             if files_per_table:

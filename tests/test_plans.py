@@ -38,3 +38,13 @@ def test_filters_and_columns_reach_parquet(bound, spark):
     p = _plan(scrap.scrap_by_reason(t, as_of=AS_OF))
     assert "PushedFilters: [IsNotNull(logged_at), GreaterThanOrEqual(logged_at" in p
     assert "ReadSchema: struct<job_num:string,oper_seq:int,scrap_qty:bigint,reason_code:string,logged_at:timestamp_ntz>" in p
+
+
+def test_bucketed_model_joins_jobs_without_shuffle(bound, spark):
+    from castwork.operators import jobs
+    root = tempfile.mkdtemp(prefix="castwork-bkt-")
+    t = bound.materialize(os.path.join(root, "m"), job_buckets=4, database="castwork_test_bkt")
+    for df in (jobs.job_cost(t), jobs.job_labor_by_shift(t)):
+        assert "Exchange hashpartitioning" not in _plan(df)
+    # Same answer as the unbucketed model.
+    assert sorted(map(str, jobs.job_cost(t).collect())) == sorted(map(str, jobs.job_cost(bound).collect()))
