@@ -10,6 +10,10 @@ its state kept by Spark between micro-batches (``applyInPandasWithState``);
 a day's state is dropped when the event-time watermark passes the end of the
 day. Within a micro-batch requests are counted in (ts, event_id) order.
 
+Event-time windows and watermarks work on instants, so the naive model
+timestamps are read as UTC: run these in a UTC session (as
+``castwork.session.REQUIRED_CONF`` sets) or the Monday alignment shifts.
+
 Both read any streaming DataFrame with the model's columns (in tests: a
 Parquet folder replayed with ``trigger(availableNow=True)``) and write to a
 checkpointed sink chosen by the caller.
