@@ -45,7 +45,6 @@ def main() -> None:
     binding_sec = time.time() - t0
 
     timings: dict[str, float] = {}
-    rows: dict[str, int] = {}
     for key in only or HEADLINE:
         fn = QUERIES[key]
         fn(tables).write.format("noop").mode("overwrite").save()  # warm-up
@@ -53,12 +52,20 @@ def main() -> None:
         df = fn(tables)
         df.write.format("noop").mode("overwrite").save()
         timings[key] = round(time.time() - t1, 3)
+    if not only:
+        from castwork.plans.dashboard import build_dashboard
+        from castwork.sources.binding import AS_OF
+        build_dashboard(tables, as_of=AS_OF)  # warm-up
+        t1 = time.time()
+        build_dashboard(tables, as_of=AS_OF)
+        dashboard_sec = round(time.time() - t1, 3)
     total = round(sum(timings.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
         "metric": "headline_queries_total_wall", "value": total, "unit": "sec", "queries": timings, "sf": sf,
         "binding_materialize_sec": round(binding_sec, 3), "cpus": cpus, "spark": spark.version,
         "job_buckets": buckets,
+        "dashboard_concurrent_sec": dashboard_sec if not only else None,
         "mode": "warm, noop sink, local",
     }))
     spark.stop()

@@ -37,10 +37,7 @@ def job_heat_count(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Period splits, cohort deltas, rate ratios and correlation.
 # ---------------------------------------------------------------------------
-import datetime as _dt  # noqa: E402
-
 from castwork.functions.exprs import hours_between, round_half_up, round_mean  # noqa: E402
-from castwork.operators.ops import op_labor  # noqa: E402
 from castwork.sources.tables import TABLE_NAMES  # noqa: E402
 
 

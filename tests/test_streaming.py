@@ -6,7 +6,6 @@ import tempfile
 from pyspark.sql import functions as F
 
 from castwork.operators import metering
-from castwork.operators.scrap import weekly_scrap  # noqa: F401  (batch counterpart documented)
 from castwork.streaming.jobs import daily_admission_stream, weekly_scrap_stream
 
 

@@ -21,3 +21,10 @@ def test_notes(bound):
     assert any("typed as" in n for n in r.notes)
     r = run_tool(bound, "reconciliation_report", {}, as_of=AS_OF, with_notes=True)
     assert any("Match rates below 100%" in n for n in r.notes)
+
+
+def test_dashboard_pieces_are_bounded(bound):
+    from castwork.plans.dashboard import build_dashboard
+    d = build_dashboard(bound, as_of=AS_OF)
+    assert len(d["findings"]) <= 8 and len(d["at_risk"]) <= 12 and len(d["counts"]) == 1
+    assert len(d["reconciliation"]) == 4
