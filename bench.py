@@ -36,7 +36,8 @@ def main() -> None:
     from castwork.session import local_session
     from castwork.sources.binding import bind
 
-    spark = local_session(cpus, shuffle_partitions=max(8, 2 * cpus), app="castwork-bench")
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(8, 2 * cpus))))
+    spark = local_session(cpus, shuffle_partitions=partitions, app="castwork-bench")
     scratch = tempfile.mkdtemp(prefix="castwork-bench-", dir=os.environ.get("BENCH_SCRATCH", "/tmp"))
 
     t0 = time.time()
@@ -66,7 +67,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "headline_queries_total_wall", "value": total, "unit": "sec", "queries": timings, "sf": sf,
         "binding_materialize_sec": round(binding_sec, 3), "cpus": cpus, "spark": spark.version,
-        "job_buckets": buckets,
+        "job_buckets": buckets, "shuffle_partitions": partitions,
         "dashboard_concurrent_sec": dashboard_sec if not only else None,
         "mode": "warm, noop sink, local",
     }))
