@@ -175,6 +175,38 @@ def reconciliation_gaps(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------------------
 # D06
 # ---------------------------------------------------------------------------
+# The finding texts (printf-style; numbers arrive already
+# formatted the way the reference prints them).
+FINDING_TEXT = {
+    "scrap_id": "scrap-%s",
+    "scrap_title": "%s scrap rising",
+    "scrap_detail": "%s averaged %s pcs/week over the last 4 weeks against a %s pcs/week baseline — %s standard deviations above normal.",
+    "scrap_ask_melt": "%s scrap is up. Which parts and work centres, and do the heats behind them explain it?",
+    "scrap_ask": "%s scrap is up. What is driving it?",
+    "downtime_id": "downtime-%s",
+    "downtime_title": "Unplanned downtime on %s",
+    "downtime_detail": "%s hrs across %s unplanned events in the last 21 days (%s hrs/day against a %s hrs/day baseline%s).",
+    "downtime_ratio": ", %sx",
+    "downtime_ask": "%s has been down a lot recently. What happened, and which jobs does it put at risk?",
+    "eff_id": "eff-%s-s%s",
+    "eff_title": "Shift %s running over standard on %s",
+    "eff_detail": "%s%% over standard across %s operations in the last 60 days, against %s%% historically.",
+    "eff_ask": "Shift %s on %s is running over standard. Is that the standard or the crew?",
+    "standard_id": "standard-%s-%s",
+    "standard_title": "Standard looks wrong on %s op %s",
+    "standard_detail": "Runs %s%% over standard across %s jobs at %s, missed on %s%% of runs and spread across %s operator assignments — not one crew.",
+    "standard_ask": "%s operation %s runs over standard. Is that the standard or the crew?",
+    "recon_id": "recon-gaps",
+    "recon_title": "%s records do not reconcile across systems",
+    "recon_detail": "Largest gap is %s with %s unmatched. Any answer touching those records is incomplete.",
+    "recon_ask": "How well do the four source systems reconcile, and what specifically does not match?",
+}
+
+
+def _fmt(key: str, *cols: Column) -> Column:
+    return F.format_string(FINDING_TEXT[key], *cols)
+
+
 def findings(t: Tables, *, as_of: dt.date, top: int = 8) -> DataFrame:
     """Flagged rows of D01-D05 in one shape, ordered by severity, then
     detector, then the detector's own order; the first ``top``."""
@@ -184,62 +216,42 @@ def findings(t: Tables, *, as_of: dt.date, top: int = 8) -> DataFrame:
                          F.col("severity"), title.alias("title"), detail.alias("detail"),
                          F.lit(sources).alias("sources"), ask.alias("ask"))
 
+    c = F.col
     s = scrap_spikes(t, as_of=as_of).where("flagged")
-    f1 = shape(s, 0, -F.col("z"), F.concat(F.lit("scrap-"), F.col("reason_code")),
-               F.concat(F.col("description"), F.lit(" scrap rising")),
-               F.concat(F.col("reason_code"), F.lit(" averaged "), js_num(F.col("recent_mean")),
-                        F.lit(" pcs/week over the last 4 weeks against a "), js_num(F.col("base_mean")),
-                        F.lit(" pcs/week baseline — "), js_num(F.col("z")), F.lit(" standard deviations above normal.")),
+    f1 = shape(s, 0, -c("z"), _fmt("scrap_id", c("reason_code")), _fmt("scrap_title", c("description")),
+               _fmt("scrap_detail", c("reason_code"), js_num(c("recent_mean")), js_num(c("base_mean")), js_num(c("z"))),
                "erp",
-               F.when(F.col("category") == "MELT", F.concat(F.col("description"),
-                      F.lit(" scrap is up. Which parts and work centres, and do the heats behind them explain it?")))
-                .otherwise(F.concat(F.col("description"), F.lit(" scrap is up. What is driving it?"))))
+               F.when(c("category") == "MELT", _fmt("scrap_ask_melt", c("description")))
+                .otherwise(_fmt("scrap_ask", c("description"))))
     d = downtime_spikes(t, as_of=as_of).where("flagged")
-    base0 = F.coalesce(F.col("base_rate"), F.lit(0.0))
-    raw_ratio = F.when(base0 > 0, F.col("recent_rate") / base0).otherwise(F.lit(0.0))
-    f2 = shape(d, 1, -F.col("recent_rate"), F.concat(F.lit("downtime-"), F.col("wc_code")),
-               F.concat(F.lit("Unplanned downtime on "), F.col("wc_code")),
-               F.concat(js_num(F.col("recent_hrs")), F.lit(" hrs across "), F.col("events").cast("string"),
-                        F.lit(" unplanned events in the last 21 days ("), js_num(F.col("recent_rate")),
-                        F.lit(" hrs/day against a "), js_num(base0), F.lit(" hrs/day baseline"),
-                        F.when(raw_ratio != 0, F.concat(F.lit(", "), F.floor(raw_ratio + 0.5).cast("bigint").cast("string"), F.lit("x")))
-                         .otherwise(F.lit("")), F.lit(").")),
-               "historian,xref",
-               F.concat(F.col("wc_code"), F.lit(" has been down a lot recently. What happened, and which jobs does it put at risk?")))
+    base0 = F.coalesce(c("base_rate"), F.lit(0.0))
+    raw_ratio = F.when(base0 > 0, c("recent_rate") / base0).otherwise(F.lit(0.0))
+    ratio_txt = F.when(raw_ratio != 0, _fmt("downtime_ratio", F.floor(raw_ratio + 0.5).cast("bigint"))).otherwise(F.lit(""))
+    f2 = shape(d, 1, -c("recent_rate"), _fmt("downtime_id", c("wc_code")), _fmt("downtime_title", c("wc_code")),
+               _fmt("downtime_detail", js_num(c("recent_hrs")), c("events"), js_num(c("recent_rate")), js_num(base0),
+                    ratio_txt),
+               "historian,xref", _fmt("downtime_ask", c("wc_code")))
     e = efficiency_drift(t, as_of=as_of).where("flagged")
-    over = round_half_up((F.col("recent_ratio") - 1) * 100, 1)
-    f3 = shape(e, 2, F.lit(0.0), F.concat(F.lit("eff-"), F.col("wc_code"), F.lit("-s"), F.col("shift").cast("string")),
-               F.concat(F.lit("Shift "), F.col("shift").cast("string"), F.lit(" running over standard on "), F.col("wc_code")),
-               F.concat(js_num(over), F.lit("% over standard across "), F.col("recent_ops").cast("string"),
-                        F.lit(" operations in the last 60 days, against "),
-                        js_num(round_half_up((F.coalesce(F.col("base_ratio"), F.lit(0.0)) - 1) * 100, 1)),
-                        F.lit("% historically.")),
-               "erp",
-               F.concat(F.lit("Shift "), F.col("shift").cast("string"), F.lit(" on "), F.col("wc_code"),
-                        F.lit(" is running over standard. Is that the standard or the crew?")))
+    over = round_half_up((c("recent_ratio") - 1) * 100, 1)
+    base_over = round_half_up((F.coalesce(c("base_ratio"), F.lit(0.0)) - 1) * 100, 1)
+    f3 = shape(e, 2, F.lit(0.0), _fmt("eff_id", c("wc_code"), c("shift")), _fmt("eff_title", c("shift"), c("wc_code")),
+               _fmt("eff_detail", js_num(over), c("recent_ops"), js_num(base_over)),
+               "erp", _fmt("eff_ask", c("shift"), c("wc_code")))
     w = wrong_standards(t, as_of=as_of).where("flagged")
     w = w.orderBy(F.desc("ratio"), "part_num", "oper_seq").limit(2)
-    over4 = round_half_up((F.col("ratio") - 1) * 100, 1)
-    f4 = shape(w, 3, -F.col("ratio"), F.concat(F.lit("standard-"), F.col("part_num"), F.lit("-"), F.col("oper_seq").cast("string")),
-               F.concat(F.lit("Standard looks wrong on "), F.col("part_num"), F.lit(" op "), F.col("oper_seq").cast("string")),
-               F.concat(F.lit("Runs "), js_num(over4), F.lit("% over standard across "), F.col("jobs").cast("string"),
-                        F.lit(" jobs at "), F.col("work_centres"), F.lit(", missed on "),
-                        F.floor(F.col("share_over") * 100 + 0.5).cast("bigint").cast("string"),
-                        F.lit("% of runs and spread across "), F.col("operator_touches").cast("string"),
-                        F.lit(" operator assignments — not one crew.")),
-               "erp",
-               F.concat(F.col("part_num"), F.lit(" operation "), F.col("oper_seq").cast("string"),
-                        F.lit(" runs over standard. Is that the standard or the crew?")))
+    over4 = round_half_up((c("ratio") - 1) * 100, 1)
+    f4 = shape(w, 3, -c("ratio"), _fmt("standard_id", c("part_num"), c("oper_seq")),
+               _fmt("standard_title", c("part_num"), c("oper_seq")),
+               _fmt("standard_detail", js_num(over4), c("jobs"), c("work_centres"),
+                    F.floor(c("share_over") * 100 + 0.5).cast("bigint"), c("operator_touches")),
+               "erp", _fmt("standard_ask", c("part_num"), c("oper_seq")))
     g = reconciliation_gaps(t).where("flagged").withColumn("severity", F.lit("watch"))
-    f5 = shape(g, 4, F.lit(0.0), F.lit("recon-gaps"),
-               F.concat(F.col("total_unmatched").cast("string"), F.lit(" records do not reconcile across systems")),
-               F.concat(F.lit("Largest gap is "), F.col("worst_pair"), F.lit(" with "), F.col("worst_count").cast("string"),
-                        F.lit(" unmatched. Any answer touching those records is incomplete.")),
-               "xref,erp,melt,historian,board",
-               F.lit("How well do the four source systems reconcile, and what specifically does not match?"))
+    f5 = shape(g, 4, F.lit(0.0), F.lit(FINDING_TEXT["recon_id"]), _fmt("recon_title", c("total_unmatched")),
+               _fmt("recon_detail", c("worst_pair"), c("worst_count")),
+               "xref,erp,melt,historian,board", F.lit(FINDING_TEXT["recon_ask"]))
     allf = f1.unionByName(f2).unionByName(f3).unionByName(f4).unionByName(f5)
     keys = ["severity_rank", "detector", "det_order", "id"]
-    top_rows = allf.withColumn("severity_rank", _severity_rank(F.col("severity"))).orderBy(*keys).limit(top)
+    top_rows = allf.withColumn("severity_rank", _severity_rank(c("severity"))).orderBy(*keys).limit(top)
     # A window over the (at most ``top``) kept rows only.
     return (top_rows.withColumn("position", F.row_number().over(Window.orderBy(*keys)))
             .select("position", "id", "severity", "title", "detail", "sources", "ask", "severity_rank", "detector"))

@@ -21,6 +21,16 @@ from castwork.operators.windows import prefix_sum
 from castwork.sources.tables import Tables
 
 
+# How a verdict explains itself (printf-style).
+WHY_TEXT = {
+    "late": "Due date passed %s days ago with %s hrs still to run.",
+    "at_risk": "%s has ~%s hrs of capacity before this due date%s, but %s hrs of work are queued ahead of or including this job%s",
+    "discount": " (after discounting %s hrs of unplanned downtime logged there in the last 21 days)",
+    "contended": " — %s hrs of that belongs to jobs due sooner.",
+    "on_track": "%s hrs queued at %s against ~%s hrs available before the due date.",
+}
+
+
 def js_num(x: Column) -> Column:
     """A double as JavaScript prints it: integers without '.0'."""
     return F.when(x == F.floor(x), F.floor(x).cast("bigint").cast("string")).otherwise(x.cast("string"))
@@ -237,20 +247,15 @@ def at_risk_jobs(t: Tables, *, as_of: dt.date, horizon_days: int = 30, dept: str
         cap_s = js_num(round_half_up(F.col("cap"), 1))
         cum_s = js_num(round_half_up(cum, 1))
         ahead = F.col("ahead_dec").cast("double")
-        why = (F.when(F.col("verdict") == "LATE", F.concat(
-                   F.lit("Due date passed "), F.abs(F.col("days_to_due")).cast("string"), F.lit(" days ago with "),
-                   js_num(F.col("rem_dec").cast("double")), F.lit(" hrs still to run.")))
-               .when(F.col("verdict") == "AT_RISK", F.concat(
-                   F.col("bottleneck_wc"), F.lit(" has ~"), cap_s, F.lit(" hrs of capacity before this due date"),
-                   F.when(F.col("loss") > 0.05, F.concat(F.lit(" (after discounting "), js_num(F.col("down_r")),
-                                                         F.lit(" hrs of unplanned downtime logged there in the last 21 days)")))
-                    .otherwise(F.lit("")),
-                   F.lit(", but "), cum_s, F.lit(" hrs of work are queued ahead of or including this job"),
-                   F.when(ahead > 0, F.concat(F.lit(" — "), js_num(round_half_up(ahead, 1)),
-                                              F.lit(" hrs of that belongs to jobs due sooner.")))
-                    .otherwise(F.lit("."))))
-               .otherwise(F.concat(cum_s, F.lit(" hrs queued at "), F.col("bottleneck_wc"), F.lit(" against ~"),
-                                   cap_s, F.lit(" hrs available before the due date."))))
+        discount = F.when(F.col("loss") > 0.05, F.format_string(WHY_TEXT["discount"], js_num(F.col("down_r")))) \
+            .otherwise(F.lit(""))
+        contended = F.when(ahead > 0, F.format_string(WHY_TEXT["contended"], js_num(round_half_up(ahead, 1)))) \
+            .otherwise(F.lit("."))
+        why = (F.when(F.col("verdict") == "LATE", F.format_string(
+                   WHY_TEXT["late"], F.abs(F.col("days_to_due")), js_num(F.col("rem_dec").cast("double"))))
+               .when(F.col("verdict") == "AT_RISK", F.format_string(
+                   WHY_TEXT["at_risk"], F.col("bottleneck_wc"), cap_s, discount, cum_s, contended))
+               .otherwise(F.format_string(WHY_TEXT["on_track"], cum_s, F.col("bottleneck_wc"), cap_s)))
         cols.append(why.alias("why"))
     return q.select(*cols)
 
