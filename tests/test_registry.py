@@ -30,3 +30,13 @@ def test_job_detail_accepts_any_spelling(bound):
 def test_unknown_job_gives_empty(bound):
     r = run_tool(bound, "get_job_detail", {"job_num": "J-999999"}, as_of=AS_OF)
     assert r.ok and r.data["header"].count() == 0
+
+
+def test_cap_rows_notes_truncation(bound):
+    from castwork.plans.result import cap_rows
+    notes = []
+    rows = cap_rows(bound.job_head.select("job_num"), ["job_num"], notes, limit=5)
+    total = bound.job_head.count()
+    assert len(rows) == 5 and notes == [f"Showing the first 5 of {total} rows. Narrow the filters for the rest."]
+    notes2 = []
+    assert len(cap_rows(bound.work_center.select("wc_code"), ["wc_code"], notes2, limit=60)) == 25 and notes2 == []
