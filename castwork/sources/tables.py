@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import dataclasses
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,7 +90,8 @@ class Tables:
         return Tables(**{n: spark.read.parquet(os.path.join(root, n)) for n in TABLE_NAMES})
 
     def materialize(self, root: str, files_per_table: int | None = None,
-                    job_buckets: int | None = None, database: str | None = None) -> "Tables":
+                    job_buckets: int | None = None, database: str | None = None,
+                    parallel_writes: int = 4) -> "Tables":
         """Write every table to ``root`` (a shared folder) and read it back.
 
         Cuts lineage (the written table survives executor loss) and gives the
@@ -113,7 +115,9 @@ class Tables:
                 w.saveAsTable(f"{db}.{name}")
                 tables[name] = spark.table(f"{db}.{name}")
             return Tables(**tables)
-        for name, df in self.items():
+
+        def write(item) -> None:
+            name, df = item
             out = df
             if files_per_table:
                 out = out.repartition(files_per_table)
@@ -121,4 +125,8 @@ class Tables:
             if keys:
                 out = out.sortWithinPartitions(*keys)
             out.write.mode("overwrite").parquet(os.path.join(root, name))
+
+        # Independent writes run as concurrent Spark jobs.
+        with ThreadPoolExecutor(max_workers=parallel_writes) as pool:
+            list(pool.map(write, self.items()))
         return Tables.from_parquet(spark, root)
