@@ -95,7 +95,8 @@ def scrap_trend(t: Tables, *, as_of: dt.date, reason_code: str | None = None, we
     weeks = per.groupBy("week").agg(F.sum("qty").cast("bigint").alias("all_scrap_qty"))
     reasons = per.select("reason_code").distinct()
     if reason_code is not None:
-        reasons = t.scrap_reason.select("reason_code").where(F.col("reason_code") == reason_code)
+        # The series covers every week in scope, with 0 where the reason is absent.
+        reasons = weeks.select(F.lit(reason_code).alias("reason_code")).distinct()
     grid = (reasons.crossJoin(F.broadcast(weeks))
             .join(per, ["week", "reason_code"], "left")
             .select("reason_code", "week", F.coalesce("qty", F.lit(0)).cast("bigint").alias("qty"),

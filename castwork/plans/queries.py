@@ -170,3 +170,21 @@ QUERIES.update({
     "monthly_budget": metering.monthly_budget,
     "remaining_quota": metering.remaining_quota,
 })
+
+# Parameter paths: the same tools with their optional filters set.
+QUERIES.update({
+    "at_risk_jobs_machine_60d": lambda t: jobs.at_risk_jobs(t, as_of=Q, horizon_days=60, dept="MACHINE"),
+    "scrap_by_reason_clean": lambda t: scrap.scrap_by_reason(t, as_of=Q, days_back=600, dept="CLEAN"),
+    "scrap_by_reason_brand_part": lambda t: scrap.scrap_by_reason(t, as_of=Q, days_back=600, group_by_part=True,
+                                                                  customer_code="Brand#4"),
+    "scrap_trend_rc1_wc": lambda t: scrap.scrap_trend(t, as_of=Q, reason_code="RC1", weeks_back=78, wc_code="NATION_1"),
+    "labor_efficiency_wc": lambda t: ops.labor_efficiency(t, as_of=Q, group_by="employee", days_back=600,
+                                                          wc_code="NATION_3"),
+    "labor_efficiency_mold_op30": lambda t: ops.labor_efficiency(t, as_of=Q, group_by="part", days_back=600,
+                                                                 dept="MOLD", oper_seq=30),
+    "work_center_load_melt_12w": lambda t: ops.work_center_load(t, as_of=Q, weeks_ahead=12, dept="MELT"),
+    "customer_commitments_stuck": lambda t: cross.customer_commitments(t, as_of=Q, status="Stuck"),
+    "job_cost_summary_brand": lambda t: ops.job_cost_summary(t, as_of=Q, group_by="part", days_back=600,
+                                                             closed_only=False, customer_code="Brand#4"),
+    "open_jobs_brand_machine": lambda t: jobs.open_jobs(t, as_of=Q, customer_code="Brand#4", dept="MACHINE"),
+})
