@@ -150,3 +150,24 @@ def round_mean(x: Column, n: int = 2) -> Column:
     side whatever the order of the additions (which moves the sum by ~1e-15)."""
     f = float(10 ** n)
     return (F.floor(x.cast("double") * F.lit(f) + F.lit(0.5 + 1e-6)) / F.lit(f)).cast("double")
+
+
+# Largest estimated side we hint as a broadcast. Above it the join is left to
+# the planner (sort-merge) and to AQE, which re-plans with measured sizes.
+BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+
+
+def small(df):
+    """``broadcast(df)`` only when Catalyst's size estimate of ``df`` is under
+    ``BROADCAST_LIMIT_BYTES``; otherwise ``df`` unchanged. The estimate comes
+    from the optimized plan's statistics (no job is run), so a side that grows
+    with the data - or whose size cannot be bounded before running - is never
+    forced into every task's memory. Frames bounded by construction (a
+    ``limit``, the weeks of a window, a one-row aggregate) are broadcast
+    explicitly at their call sites instead."""
+    from pyspark.sql import functions as _F
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no estimate: do not hint
+        return df
+    return _F.broadcast(df) if size <= BROADCAST_LIMIT_BYTES else df

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from castwork.functions.exprs import (
-    hours_between, is_unplanned, lit_date, midnight_minus_days, round_half_up, ts_ntz, week_start,
+    hours_between, is_unplanned, lit_date, midnight_minus_days, round_half_up, ts_ntz, week_start, small,
 )
 from castwork.operators import bridges
 from castwork.operators.jobs import bottleneck, js_num, unplanned_downtime
@@ -58,7 +58,7 @@ def scrap_spikes(t: Tables, *, as_of: dt.date, weeks: int = 26, recent_weeks: in
     z = round_half_up(F.col("z_raw"), 1)
     flagged = ((F.col("base_weeks") >= min_base_weeks) & (F.col("sdv") > 0) & (F.col("rm") > F.col("bm"))
                & (F.col("z_raw") >= z_min))
-    return (s.join(F.broadcast(t.scrap_reason), "reason_code")
+    return (s.join(small(t.scrap_reason), "reason_code")
             .select("reason_code", "description", "category",
                     round_half_up(F.col("bm"), 1).alias("base_mean"), round_half_up(F.col("rm"), 1).alias("recent_mean"),
                     z.alias("z"), F.col("base_weeks").cast("bigint").alias("base_weeks"),
@@ -80,7 +80,7 @@ def downtime_spikes(t: Tables, *, as_of: dt.date, recent_days: int = 21, base_da
     g = s.groupBy("wc_code").agg(F.sum(F.when(recent, F.col("hrs"))).alias("rh"),
                                  F.sum(F.when(~recent, F.col("hrs"))).alias("bh"),
                                  F.count(F.when(recent, 1)).alias("events"))
-    g = g.where(F.col("rh") > 0).join(F.broadcast(t.work_center.select("wc_code", "description")), "wc_code")
+    g = g.where(F.col("rh") > 0).join(small(t.work_center.select("wc_code", "description")), "wc_code")
     rr = round_half_up(F.col("rh") / float(recent_days), 2)
     br = round_half_up(F.col("bh") / float(base_days), 2)
     g = g.select("wc_code", "description", rr.alias("recent_rate"), br.alias("base_rate"),
@@ -273,7 +273,7 @@ def scrap_series(t: Tables, *, as_of: dt.date, weeks: int = 16, top: int = 4) ->
     reasons = top_reasons(t, as_of=as_of, weeks=weeks, top=top).select("reason_code")
     sd = t.scrap_dtl.where((F.col("logged_at") >= midnight_minus_days(as_of, 7 * weeks))
                            & (F.col("logged_at") <= ts_ntz(as_of)))
-    return (sd.join(F.broadcast(reasons), "reason_code", "left_semi")
+    return (sd.join(F.broadcast(reasons), "reason_code", "left_semi")  # at most ``top`` rows
             .groupBy(week_start(F.col("logged_at")).alias("week"), "reason_code")
             .agg(F.sum("scrap_qty").cast("bigint").alias("qty")))
 
@@ -282,7 +282,9 @@ def dense_series(t: Tables, *, as_of: dt.date, weeks: int = 16, top: int = 4) ->
     """The week x reason grid over the weeks present, zero-filled.
     Both sides are bounded (weeks x top reasons)."""
     s = scrap_series(t, as_of=as_of, weeks=weeks, top=top)
-    grid = s.select("week").distinct().crossJoin(F.broadcast(top_reasons(t, as_of=as_of, weeks=weeks, top=top).select("reason_code")))
+    # Both sides are bounded by construction: weeks in the window x ``top`` reasons.
+    grid = s.select("week").distinct().crossJoin(F.broadcast(top_reasons(t, as_of=as_of, weeks=weeks, top=top)
+                                                             .select("reason_code")))
     return grid.join(s, ["week", "reason_code"], "left").select(
         "week", "reason_code", F.coalesce("qty", F.lit(0)).cast("bigint").alias("qty"))
 
@@ -294,7 +296,7 @@ def load_overview(t: Tables, *, as_of: dt.date) -> DataFrame:
         t.job_head.where(~F.col("job_closed")).select("job_num"), "job_num", "left_semi")
     c = jo.groupBy("wc_code").agg(F.sum(F.col("est_setup_hrs") + F.col("est_prod_hrs")).alias("hrs"))
     down = unplanned_downtime(t, as_of=as_of)
-    wc = t.work_center.join(c, "wc_code", "left").join(F.broadcast(down), "wc_code", "left")
+    wc = t.work_center.join(c, "wc_code", "left").join(small(down), "wc_code", "left")
     committed = F.round(F.coalesce(F.col("hrs"), F.lit(0)), 1).cast("double")
     nameplate = (F.col("shifts_per_day") * F.col("hrs_per_shift") * F.col("resources") * 5).cast("double")
     eff = round_half_up(F.greatest(F.lit(0.0), nameplate - F.coalesce(F.col("down_hrs"), F.lit(0.0)) / 3), 1)

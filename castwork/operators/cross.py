@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castwork.functions.exprs import (
-    days_between, hours_between, lit_date, midnight_minus_days, round_half_up, round_mean,
+    days_between, hours_between, lit_date, midnight_minus_days, round_half_up, round_mean, small,
 )
 from castwork.operators import bridges
 from castwork.operators.joins import day_span, path_prefixes
@@ -48,7 +48,7 @@ def heat_summary(t: Tables, *, as_of: dt.date, baseline_days: int = 90) -> DataF
             .groupBy("furnace_id").agg(F.sum("degas_minutes").alias("bd"), F.count("degas_minutes").alias("bdn"),
                                        F.sum("rpt_density").alias("br"), F.count("rpt_density").alias("brn")))
     jp = bridges.job_pattern(t)
-    out = (jp.join(per, "job_num", "left").join(F.broadcast(base), "furnace_id", "left"))
+    out = (jp.join(per, "job_num", "left").join(small(base), "furnace_id", "left"))
     one = F.col("furnaces") == 1
     return out.select(
         "job_num", "part_num", "pattern_code",
@@ -62,7 +62,7 @@ def _job_tags(t: Tables) -> DataFrame:
     """(job, wc, role, prefix, window) for every operation of every job:
     one row per operation, so two operations on one centre count twice."""
     return (t.job_oper.select("job_num", "wc_code")
-            .join(F.broadcast(t.wc_tag.select("wc_code", "tag_prefix", "signal_role")), "wc_code")
+            .join(small(t.wc_tag.select("wc_code", "tag_prefix", "signal_role")), "wc_code")
             .join(bridges.job_window(t), "job_num"))
 
 

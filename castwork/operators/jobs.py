@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from castwork.functions.exprs import (
     ALUMINUM_COST_PER_LB, MAX_DOWNTIME_DISCOUNT, WORKING_DAYS_IN_21, days_between, hours_between,
     is_unplanned, labor_rate, lit_date, midnight_minus_days, pct, round_dec, round_half_up,
-    weekdays_inclusive,
+    weekdays_inclusive, small,
 )
 from castwork.operators.joins import prefix_join
 from castwork.operators.windows import prefix_sum
@@ -60,7 +60,7 @@ def open_jobs(t: Tables, *, as_of: dt.date, dept: str | None = None, wc_code: st
     p = t.part.select("part_num", "description", "customer_code", "process")
     if customer_code is not None:
         p = p.where(F.col("customer_code") == customer_code)
-    ops = t.job_oper.select("job_num", "wc_code").join(F.broadcast(t.work_center.select("wc_code", "dept")), "wc_code")
+    ops = t.job_oper.select("job_num", "wc_code").join(small(t.work_center.select("wc_code", "dept")), "wc_code")
     if wc_code is not None:
         ops = ops.where(F.col("wc_code") == wc_code)
     if dept is not None:
@@ -85,7 +85,7 @@ def job_header(t: Tables, *, as_of: dt.date) -> DataFrame:
 
 def job_operations(t: Tables) -> DataFrame:
     """Operations with their work centre; not started = no actual hours."""
-    return t.job_oper.join(F.broadcast(t.work_center.select("wc_code", "description", "dept")), "wc_code").select(
+    return t.job_oper.join(small(t.work_center.select("wc_code", "description", "dept")), "wc_code").select(
         "job_num", "oper_seq", "wc_code", F.col("description").alias("wc_description"), "dept",
         *[F.col(c).cast("double").alias(c) for c in ("est_setup_hrs", "est_prod_hrs", "act_setup_hrs", "act_prod_hrs")],
         "qty_completed", "scrap_qty", (F.col("act_prod_hrs") == 0).alias("not_started"))
@@ -93,7 +93,7 @@ def job_operations(t: Tables) -> DataFrame:
 
 def job_scrap_by_reason(t: Tables) -> DataFrame:
     """Scrap per job and reason (reasons outside the lookup drop out)."""
-    return (t.scrap_dtl.join(F.broadcast(t.scrap_reason), "reason_code")
+    return (t.scrap_dtl.join(small(t.scrap_reason), "reason_code")
             .groupBy("job_num", "reason_code", "description", "category")
             .agg(F.sum("scrap_qty").cast("bigint").alias("qty")))
 
@@ -108,7 +108,7 @@ def job_labor_by_shift(t: Tables) -> DataFrame:
 def job_labor_cost(t: Tables) -> DataFrame:
     """Per job: estimated and actual labour dollars, rate-weighted by the
     department of each operation (exact decimals), aggregated before any join."""
-    jo = t.job_oper.join(F.broadcast(t.work_center.select("wc_code", "dept")), "wc_code")
+    jo = t.job_oper.join(small(t.work_center.select("wc_code", "dept")), "wc_code")
     rate = labor_rate(F.col("dept"))
     return jo.groupBy("job_num").agg(
         F.sum((F.col("est_setup_hrs") + F.col("est_prod_hrs")) * rate).alias("est_labor"),
@@ -207,8 +207,8 @@ def at_risk_jobs(t: Tables, *, as_of: dt.date, horizon_days: int = 30, dept: str
     jh = t.job_head.where((~F.col("job_closed")) & (F.col("req_due_date") <= F.date_add(today, horizon_days)))
     rows = (jh.join(t.part.select("part_num", "description", "customer_code"), "part_num")
             .join(pj, "job_num")
-            .join(F.broadcast(wc.withColumnRenamed("wc_code", "bottleneck_wc")), "bottleneck_wc")
-            .join(F.broadcast(down.withColumnRenamed("wc_code", "bottleneck_wc")), "bottleneck_wc", "left"))
+            .join(small(wc.withColumnRenamed("wc_code", "bottleneck_wc")), "bottleneck_wc")
+            .join(small(down.withColumnRenamed("wc_code", "bottleneck_wc")), "bottleneck_wc", "left"))
     hpd = F.col("hpd").cast("double")
     rows = rows.select(
         "job_num", "part_num", "description", "customer_code", "req_due_date", "qty_ordered", "qty_completed",

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from castwork.functions.exprs import small
+
 
 def path_prefixes(path: Column) -> Column:
     """Array of the proper prefixes of ``path`` that end right before a '/'."""
@@ -37,7 +39,7 @@ def prefix_join(df: DataFrame, path_col: str, bridge: DataFrame, prefix_col: str
     """Rows of ``df`` paired with every bridge row whose prefix is a '/'-prefix
     of ``df[path_col]``. ``how='left_semi'``/``'left_anti'`` give EXISTS / NOT EXISTS.
     """
-    b = F.broadcast(bridge) if broadcast_bridge else bridge
+    b = small(bridge) if broadcast_bridge else bridge
     if how in ("left_semi", "left_anti"):
         keys = b.select(F.col(prefix_col).alias("_pfx")).distinct()
         cand = df.select(F.col(path_col).alias("_p")).distinct() \

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from castwork.functions.exprs import (
     ALUMINUM_COST_PER_LB, labor_rate, lit_date, midnight_minus_days, pct, round_dec, round_half_up,
-    week_start,
+    week_start, small,
 )
 from castwork.operators.jobs import unplanned_downtime
 from castwork.sources.tables import Tables
@@ -36,7 +36,7 @@ def op_labor(t: Tables, *, as_of: dt.date | None = None, days_back: int | None =
     if oper_seq is not None:
         jo = jo.where(F.col("oper_seq") == oper_seq)
     if dept is not None:
-        jo = jo.join(F.broadcast(t.work_center.where(F.col("dept") == dept).select("wc_code")), "wc_code", "left_semi")
+        jo = jo.join(small(t.work_center.where(F.col("dept") == dept).select("wc_code")), "wc_code", "left_semi")
     ld = t.labor_dtl
     if days_back is not None:
         ld = ld.where(F.col("clock_in") >= midnight_minus_days(as_of, days_back))
@@ -101,13 +101,13 @@ def work_center_load(t: Tables, *, as_of: dt.date, weeks_ahead: int = 4, dept: s
     if dept is not None:
         wc = wc.where(F.col("dept") == dept)
     committed = (t.job_oper.where(F.col("act_prod_hrs") == 0).join(jh.select("job_num", "req_due_date"), "job_num")
-                 .join(F.broadcast(wc.select("wc_code")), "wc_code", "left_semi")
+                 .join(small(wc.select("wc_code")), "wc_code", "left_semi")
                  .groupBy("wc_code", week_start(F.col("req_due_date")).alias("week"))
                  .agg(F.sum(F.col("est_setup_hrs") + F.col("est_prod_hrs")).alias("c"),
                       F.countDistinct("job_num").alias("open_jobs")))
     down = unplanned_downtime(t, as_of=as_of)
-    rows = (committed.join(F.broadcast(wc.select("wc_code", "description", "dept", "shifts_per_day", "hrs_per_shift", "resources")), "wc_code")
-            .join(F.broadcast(down), "wc_code", "left"))
+    rows = (committed.join(small(wc.select("wc_code", "description", "dept", "shifts_per_day", "hrs_per_shift", "resources")), "wc_code")
+            .join(small(down), "wc_code", "left"))
     nameplate = F.round(F.col("shifts_per_day") * F.col("hrs_per_shift") * F.col("resources") * 5, 1).cast("double")
     down_r = round_half_up(F.coalesce(F.col("down_hrs"), F.lit(0.0)), 1)
     rows = rows.select("week", "wc_code", "description", "dept", "open_jobs",
@@ -125,7 +125,7 @@ def job_cost_summary(t: Tables, *, as_of: dt.date, group_by: str = "part", days_
                      customer_code: str | None = None) -> DataFrame:
     """Cost roll-up per part / customer / industry / month of jobs
     created in the window. Labour is summed per job first (rate by dept)."""
-    jo = t.job_oper.join(F.broadcast(t.work_center.select("wc_code", "dept")), "wc_code")
+    jo = t.job_oper.join(small(t.work_center.select("wc_code", "dept")), "wc_code")
     rate = labor_rate(F.col("dept"))
     jl = jo.groupBy("job_num").agg(F.sum((F.col("est_setup_hrs") + F.col("est_prod_hrs")) * rate).alias("el"),
                                    F.sum((F.col("act_setup_hrs") + F.col("act_prod_hrs")) * rate).alias("al"))

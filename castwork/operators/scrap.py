@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from castwork.functions.exprs import midnight_minus_days, pct, round_half_up, ts_ntz, week_start
+from castwork.functions.exprs import midnight_minus_days, pct, round_half_up, ts_ntz, week_start, small
 from castwork.sources.tables import Tables
 
 
@@ -41,7 +41,7 @@ def scoped_scrap(t: Tables, *, as_of: dt.date, days_back: int, part_num: str | N
     if masters or customer_code is not None:
         out = out.join(p, "part_num")
     if masters or dept is not None:
-        out = out.join(F.broadcast(wc), "wc_code")
+        out = out.join(small(wc), "wc_code")
     return (out
             .select("job_num", "part_num", "qty_ordered", "reason_code", "scrap_qty", "logged_at"))
 
@@ -56,7 +56,7 @@ def scrap_by_reason(t: Tables, *, as_of: dt.date, days_back: int = 90, group_by_
     """
     s = scoped_scrap(t, as_of=as_of, days_back=days_back, **filters)
     keys = ["reason_code", "description", "category"] + (["part_num"] if group_by_part else [])
-    by = (s.join(F.broadcast(t.scrap_reason), "reason_code")
+    by = (s.join(small(t.scrap_reason), "reason_code")
           .groupBy(*keys).agg(F.sum("scrap_qty").cast("bigint").alias("scrap_qty")))
     ordered = (s.select("job_num", "qty_ordered").distinct()
                .agg(F.sum("qty_ordered").cast("bigint").alias("qty_ordered_in_scope")))
@@ -97,6 +97,7 @@ def scrap_trend(t: Tables, *, as_of: dt.date, reason_code: str | None = None, we
     if reason_code is not None:
         # The series covers every week in scope, with 0 where the reason is absent.
         reasons = weeks.select(F.lit(reason_code).alias("reason_code")).distinct()
+    # weeks holds at most weeks_back + 1 rows: a bound by construction.
     grid = (reasons.crossJoin(F.broadcast(weeks))
             .join(per, ["week", "reason_code"], "left")
             .select("reason_code", "week", F.coalesce("qty", F.lit(0)).cast("bigint").alias("qty"),

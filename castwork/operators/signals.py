@@ -37,7 +37,7 @@ def job_heat_count(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Period splits, cohort deltas, rate ratios and correlation.
 # ---------------------------------------------------------------------------
-from castwork.functions.exprs import hours_between, round_half_up, round_mean  # noqa: E402
+from castwork.functions.exprs import hours_between, round_half_up, round_mean, small  # noqa: E402
 from castwork.sources.tables import TABLE_NAMES  # noqa: E402
 
 
@@ -143,7 +143,7 @@ def cohort_delta(t: Tables, *, cohort_days: int = 380, margin: float = 0.05) ->
         "wc_code", "shift", "started",
         (F.col("act_prod_hrs").cast("double") / F.col("est_prod_hrs").cast("double")).alias("ratio"))
     first = o.groupBy("wc_code").agg(F.min("started").alias("first"))
-    o = o.join(F.broadcast(first), "wc_code").withColumn(
+    o = o.join(small(first), "wc_code").withColumn(
         "after", F.col("started") >= F.col("first") + F.make_dt_interval(F.lit(cohort_days)))
     g = o.groupBy("wc_code", "shift").agg(F.avg(F.when(~F.col("after"), F.col("ratio"))).alias("b"),
                                           F.avg(F.when(F.col("after"), F.col("ratio"))).alias("a"))
@@ -151,7 +151,7 @@ def cohort_delta(t: Tables, *, cohort_days: int = 380, margin: float = 0.05) ->
                  round_mean(F.col("a"), 4).alias("after_cohort"))
     g = g.withColumn("delta", round_mean(F.col("after_cohort") - F.col("before_cohort"), 4))
     best = g.groupBy("wc_code").agg(F.min("delta").alias("best"))
-    return g.join(F.broadcast(best), "wc_code").select(
+    return g.join(small(best), "wc_code").select(
         "wc_code", "shift", "before_cohort", "after_cohort", "delta",
         F.coalesce(F.col("delta") > F.col("best") + margin, F.lit(False)).alias("flagged"))
 
@@ -173,7 +173,7 @@ def family_overrun(t: Tables, *, factor: float = 1.15) -> DataFrame:
         "oper_seq", "family", (F.col("act_prod_hrs").cast("double") / F.col("est_prod_hrs").cast("double")).alias("ratio"))
     g = o.groupBy("oper_seq", "family").agg(F.sum("ratio").alias("s"), F.count(F.lit(1)).alias("n"))
     tot = g.groupBy("oper_seq").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    j = g.join(F.broadcast(tot), "oper_seq")
+    j = g.join(small(tot), "oper_seq")
     fam_mean = F.col("s") / F.col("n")
     rest_mean = F.when(F.col("tn") > F.col("n"), (F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n")))
     return j.select("oper_seq", "family", round_mean(fam_mean, 4).alias("family_ratio"),

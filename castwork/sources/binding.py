@@ -18,7 +18,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwork.functions.exprs import ts_ntz
+from castwork.functions.exprs import ts_ntz, small
 from castwork.sources.tables import Tables
 
 AS_OF = dt.date(2001, 8, 1)
@@ -118,7 +118,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
     # -- job_oper: one operation per (order, line number) --------------------
     li_o = li.join(orders, li.l_orderkey == orders.o_orderkey)
     ops = (li_o.join(supplier, li_o.l_suppkey == supplier.s_suppkey)
-           .join(F.broadcast(work_center.select("n_nationkey", "wc_code")),
+           .join(small(work_center.select("n_nationkey", "wc_code")),
                  F.col("n_nationkey") == F.col("s_nationkey"))
            .groupBy("l_orderkey", "l_linenumber").agg(
                F.min("wc_code").alias("wc_code"),

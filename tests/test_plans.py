@@ -10,7 +10,8 @@ from castwork.sources.binding import AS_OF
 
 # Keys whose cross join is against a global (1-row) aggregate or a grid of
 # bounded size (weeks x reasons), planned as a broadcast nested loop.
-BNLJ_OK = {"scrap_by_reason", "scrap_by_reason_part", "scrap_trend", "dense_series", "load_share", "kpi_counts",
+BNLJ_OK = {"scrap_by_reason", "scrap_by_reason_part", "scrap_by_reason_clean", "scrap_by_reason_brand_part",
+           "scrap_trend", "scrap_trend_rc1_wc", "dense_series", "load_share", "kpi_counts",
            "schedule_totals", "reason_share_shift", "level_decay", "tag_decay", "event_rate_ratio",
            "open_jobs_at_wc", "ratio_drift"}
 PY_OK = {k for k in QUERIES if k.startswith("schedule_")}
