@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from castwork.operators import scrap
+from castwork.functions.exprs import week_start
+from castwork.operators import anomalies, bridges, catalog, cross, jobs, metering, ops, schedule, scrap, signals
+from castwork.plans import result
 from castwork.sources.binding import AS_OF
 from castwork.sources.tables import TABLE_NAMES, Tables
 
@@ -40,8 +42,6 @@ QUERIES.update({
     "scrap_trend": lambda t: scrap.scrap_trend(t, as_of=Q, weeks_back=16),
 })
 
-from castwork.operators import bridges  # noqa: E402
-from castwork.operators import signals  # noqa: E402
 
 QUERIES.update({
     "job_window": bridges.job_window,
@@ -61,7 +61,6 @@ QUERIES.update({
     "job_heat_count": signals.job_heat_count,
 })
 
-from castwork.operators import jobs  # noqa: E402
 
 QUERIES.update({
     "open_jobs": lambda t: jobs.open_jobs(t, as_of=Q),
@@ -80,7 +79,6 @@ QUERIES.update({
     "at_risk_summary": lambda t: jobs.at_risk_summary(t, as_of=Q),
 })
 
-from castwork.operators import ops  # noqa: E402
 
 QUERIES.update({
     "labor_efficiency_employee": lambda t: ops.labor_efficiency(t, as_of=Q, group_by="employee", days_back=120),
@@ -97,7 +95,6 @@ QUERIES.update({
                                                              closed_only=False),
 })
 
-from castwork.operators import anomalies  # noqa: E402
 
 QUERIES.update({
     "scrap_spikes": lambda t: anomalies.scrap_spikes(t, as_of=Q),
@@ -115,7 +112,6 @@ QUERIES.update({
     "kpi_counts": lambda t: anomalies.kpi_counts(t, as_of=Q),
 })
 
-from castwork.operators import cross  # noqa: E402
 
 QUERIES.update({
     "job_heats": cross.job_heats,
@@ -139,8 +135,6 @@ QUERIES.update({
     "ratio_drift": lambda t: signals.ratio_drift(t),
 })
 
-from castwork.functions.exprs import week_start  # noqa: E402
-from castwork.operators import schedule  # noqa: E402
 
 QUERIES.update({
     "week_starts": lambda t: t.job_head.where(~F.col("job_closed")).select(
@@ -155,8 +149,6 @@ QUERIES.update({
     "schedule_families": lambda t: schedule.families(t, as_of=Q),
 })
 
-from castwork.operators import catalog, metering  # noqa: E402
-from castwork.plans import result  # noqa: E402
 
 QUERIES.update({
     "findings_fingerprint": lambda t: result.findings_fingerprint(anomalies.findings(t, as_of=Q)),
