@@ -86,6 +86,7 @@ QUERIES.update({
     "labor_efficiency_work_center": lambda t: ops.labor_efficiency(t, as_of=Q, group_by="work_center", days_back=600),
     "labor_efficiency_part": lambda t: ops.labor_efficiency(t, as_of=Q, group_by="part", days_back=600),
     "standard_vs_crew": lambda t: ops.standard_vs_crew(t, as_of=Q),
+    "standard_vs_crew_part_op": lambda t: ops.standard_vs_crew(t, as_of=Q, scope=("part_num", "oper_seq"), days_back=600),
     "work_center_load": lambda t: ops.work_center_load(t, as_of=Q, weeks_ahead=4),
     "job_cost_summary_part": lambda t: ops.job_cost_summary(t, as_of=Q, group_by="part"),
     "job_cost_summary_customer": lambda t: ops.job_cost_summary(t, as_of=Q, group_by="customer", days_back=600,
