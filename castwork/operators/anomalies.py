@@ -253,7 +253,7 @@ def findings(t: Tables, *, as_of: dt.date, top: int = 8) -> DataFrame:
     keys = ["severity_rank", "detector", "det_order", "id"]
     top_rows = allf.withColumn("severity_rank", _severity_rank(c("severity"))).orderBy(*keys).limit(top)
     # A window over the (at most ``top``) kept rows only.
-    return (top_rows.withColumn("position", F.row_number().over(Window.orderBy(*keys)))
+    return (top_rows.withColumn("position", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
             .select("position", "id", "severity", "title", "detail", "sources", "ask", "severity_rank", "detector"))
 
 
