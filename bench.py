@@ -46,6 +46,7 @@ def main() -> None:
     buckets = int(os.environ.get("BENCH_JOB_BUCKETS", "0"))
     tables = bind(spark, sf_dir).materialize(os.path.join(scratch, "model"), job_buckets=buckets or None)
     binding_sec = time.time() - t0
+    input_rows = {name: df.count() for name, df in tables.items()}  # footer counts of the model
 
     timings: dict[str, float] = {}
     for key in only or HEADLINE:
@@ -69,7 +70,7 @@ def main() -> None:
         "binding_materialize_sec": round(binding_sec, 3), "cpus": cpus, "spark": spark.version,
         "job_buckets": buckets, "shuffle_partitions": partitions,
         "dashboard_concurrent_sec": dashboard_sec if not only else None,
-        "mode": "warm, noop sink, local",
+        "mode": "warm, noop sink, local", "input_rows": input_rows,
     }))
     spark.stop()
 
