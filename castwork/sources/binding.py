@@ -40,7 +40,15 @@ SCRAP_REASONS = [
     ("RC7", "Dimensional out of tolerance", "MACHINE"),
 ]
 
-_cache: dict[tuple[int, str], Tables] = {}
+_cache: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
+
+
+def _alive(spark: SparkSession) -> bool:
+    """False once the session's context has been stopped (its DataFrames are dead)."""
+    try:
+        return spark.sparkContext._jsc is not None
+    except Exception:  # noqa: BLE001 - a remote session has no local context
+        return True
 
 
 def _job_num(orderkey) -> F.Column:
@@ -58,8 +66,9 @@ def _hours(n) -> F.Column:
 def bind(spark: SparkSession, sf_dir: str) -> Tables:
     """Lazy model over the driver tables in ``sf_dir`` (memoised per session)."""
     key = (id(spark), sf_dir)
-    if key in _cache:
-        return _cache[key]
+    hit = _cache.get(key)
+    if hit is not None and hit[0] is spark and _alive(spark):
+        return hit[1]
 
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -283,5 +292,5 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
         board_item=board_item, column_value=column_value, part_pattern=part_pattern, wc_tag=wc_tag,
         request_event=request_event,
     )
-    _cache[key] = t
+    _cache[key] = (spark, t)
     return t
