@@ -154,7 +154,7 @@ def round_mean(x: Column, n: int = 2) -> Column:
 
 # Largest estimated side we hint as a broadcast. Above it the join is left to
 # the planner (sort-merge) and to AQE, which re-plans with measured sizes.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 
 
 def small(df):
