@@ -175,6 +175,13 @@ def payload_rows(block: int, rows: list[tuple[int, int, bytes]]) -> pa.RecordBat
     )
 
 
+def key_rows(block: int, n_buckets: int, keys: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """One payload for each bucket that has some of the block's sorted keys, with what goes along with each key."""
+    bucket, first = bounds(keys, n_buckets)
+    ends = np.append(first, len(keys))[1:]
+    return payload_rows(block, [(k, e - s, squeeze(deltas(keys[s:e]), *(m[s:e] for m in more))) for k, s, e in zip(bucket.tolist(), first.tolist(), ends.tolist(), strict=True)])
+
+
 def per_bucket(payloads: DataFrame, fn: Callable[[int, list[int], list[bytes]], list[bytes]]) -> DataFrame:
     """For each bucket, `fn(bucket, blocks, payloads)` gives one answer for each payload, in order."""
 

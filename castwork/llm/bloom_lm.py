@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .blocks import PAYLOAD_SCHEMA, Block, answers_of, bounds, deltas, pack, payload_rows, per_block, per_bucket, squeeze, undeltas, unsqueeze, with_answers
+from .blocks import PAYLOAD_SCHEMA, Block, answers_of, bounds, key_rows, pack, per_block, per_bucket, squeeze, undeltas, unsqueeze, with_answers
 from .common import Rolling, mix, written
 
 END = np.uint64(0x5851F42D4C957F2D)  # hash of the end token; no word has it but by collision
@@ -120,17 +120,11 @@ class Filter:
         """Levels of sorted keys."""
         out = np.zeros(len(keys), np.uint8)
         bucket, first = bounds(keys, len(self.segments))
-        for k, s, e in zip(bucket.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+        for k, s, e in zip(bucket.tolist(), first.tolist(), np.append(first, len(keys))[1:].tolist(), strict=True):
             out[s:e] = levels(keys[s:e], self.segments[k])
         return out
 
 
-def _rows(block: int, n_buckets: int, keys: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
-    bucket, first = bounds(keys, n_buckets)
-    ends = [*first[1:].tolist(), len(keys)]
-    yield payload_rows(block, [(k, e - s, squeeze(deltas(keys[s:e]), *(m[s:e] for m in more))) for k, s, e in zip(bucket.tolist(), first.tolist(), ends, strict=True)])
-
-
 def _totals(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     got = [unsqueeze(p, np.uint64, np.uint32) for p in payloads]
     keys, inverse = np.unique(np.concatenate([undeltas(d) for d, _ in got]), return_inverse=True)
@@ -168,7 +162,7 @@ def score(docs: DataFrame, *, folds: int = 7, fold: int = 2, mu: float = MU, bro
     def words(b: Block, row: dict) -> Iterator[pa.RecordBatch]:
         h, sizes = tokens(b)
         keys, inverse = np.unique(h, return_inverse=True)
-        yield from _rows(b.id, n_buckets, keys, np.bincount(inverse, np.repeat(trained(b), sizes), len(keys)).astype(np.uint32))
+        yield key_rows(b.id, n_buckets, keys, np.bincount(inverse, np.repeat(trained(b), sizes), len(keys)).astype(np.uint32))
 
     unigrams = written(per_bucket(per_block(blocks, words, PAYLOAD_SCHEMA), _unigram_totals), "unigrams")
     whole = unigrams.select(*(F.conv(F.hex(F.substring("answer", s, 8)), 16, 10).cast("bigint").alias(n) for s, n in ((1, "n"), (9, "v"))))
@@ -177,7 +171,7 @@ def score(docs: DataFrame, *, folds: int = 7, fold: int = 2, mu: float = MU, bro
     def pairs(b: Block, row: dict) -> Iterator[pa.RecordBatch]:
         h, sizes = tokens(b)
         keys, counts = np.unique(bigrams(h, sizes)[0][np.repeat(trained(b), sizes)], return_counts=True)
-        yield from _rows(b.id, n_buckets, keys, counts.astype(np.uint32))
+        yield key_rows(b.id, n_buckets, keys, counts.astype(np.uint32))
 
     def segment(t: pa.Table) -> pa.Table:
         keys, counts, _, _ = _totals(t.column("payload").to_pylist())
@@ -235,7 +229,7 @@ def _levels_by_segment(blocks: DataFrame, segments: DataFrame, n_buckets: int) -
 
     def probes(b: Block, row: dict) -> Iterator[pa.RecordBatch]:
         h, sizes = tokens(b)
-        yield from _rows(b.id, n_buckets, np.unique(bigrams(h, sizes)[0]))
+        yield key_rows(b.id, n_buckets, np.unique(bigrams(h, sizes)[0]))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         bits = np.frombuffer(right.column("bits")[0].as_py(), np.uint8) if right.num_rows else np.zeros(8, np.uint8)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .blocks import (PAYLOAD_SCHEMA, Block, answers_of, bounds, deltas, pack, payload_rows, per_block, per_bucket, squeeze, undeltas, unsqueeze,
+from .blocks import (PAYLOAD_SCHEMA, Block, answers_of, key_rows, pack, per_block, per_bucket, undeltas, unsqueeze,
                      with_answers)
 from .common import Rolling, written
 
@@ -140,15 +140,6 @@ def _answer(*bits: np.ndarray) -> bytes:
     return len(bits[0]).to_bytes(4, "little") + b"".join(np.packbits(b).tobytes() for b in bits)
 
 
-def _rows(block: int, n_buckets: int, keys: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One payload for each bucket that has keys of the block."""
-    bucket, first = bounds(keys, n_buckets)
-    rows = []
-    for k, s, e in zip(bucket.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
-        rows.append((k, e - s, squeeze(deltas(keys[s:e]), *(m[s:e] for m in more))))
-    yield payload_rows(block, rows)
-
-
 def _short_ties(_: int, blocks: list[int], payloads: list[bytes]) -> list[bytes]:
     """Sort the bucket's cover positions by their short prefix; a key met twice, in one block or two, is tied."""
     got = [unsqueeze(p, np.uint64, np.uint8) for p in payloads]
@@ -187,7 +178,7 @@ def _decide(docs: DataFrame, length: int, period: int, cover: tuple[int, ...], f
     def cover_sample(b: Block, row: dict) -> Iterator[pa.RecordBatch]:
         p = _Pass(b, length, period, cover)
         keys, inverse = p.short_keys()
-        yield from _rows(b.id, n_buckets, keys, (np.bincount(inverse, minlength=len(keys)) > 1).astype(np.uint8))
+        yield key_rows(b.id, n_buckets, keys, (np.bincount(inverse, minlength=len(keys)) > 1).astype(np.uint8))
 
     short = written(per_bucket(per_block(blocks, cover_sample, PAYLOAD_SCHEMA), _short_ties), "short")
 
@@ -195,7 +186,7 @@ def _decide(docs: DataFrame, length: int, period: int, cover: tuple[int, ...], f
         p = _Pass(b, length, period, cover)
         p.tied(answers_of(row, "short"))
         keys, low, _, _, counts = p.keyed(p.long_at(), p.long)
-        yield from _rows(b.id, n_buckets, keys, low, (counts > 1).astype(np.uint8))
+        yield key_rows(b.id, n_buckets, keys, low, (counts > 1).astype(np.uint8))
 
     long = written(per_bucket(per_block(with_answers(blocks, short=short), ranked, PAYLOAD_SCHEMA), _long_ties), "long")
 
@@ -208,7 +199,7 @@ def _decide(docs: DataFrame, length: int, period: int, cover: tuple[int, ...], f
         p = _Pass(b, length, period, cover)
         _, at = suffixes(p, row)
         keys, low, _, _, counts = p.keyed(at, length)
-        yield from _rows(b.id, n_buckets, keys, low, (counts > 1).astype(np.uint8))
+        yield key_rows(b.id, n_buckets, keys, low, (counts > 1).astype(np.uint8))
 
     own = written(per_bucket(per_block(with_answers(blocks, short=short, long=long), left, PAYLOAD_SCHEMA), _long_ties), "own")
 
