@@ -172,28 +172,36 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _grouped(docs: DataFrame, words: int, max_distance: int, seed: int, keep: tuple[str, ...]) -> DataFrame:
-    """Written table: kept columns, th, fp and root (the smallest fingerprint of the component)."""
+def _grouped(docs: DataFrame, words: int, max_distance: int, seed: int, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: the rows (kept columns, th, fp), and for each distinct fp its root (the smallest
+    fingerprint of its component)."""
     rows = written(with_fingerprint(docs, words, seed, keep=keep), "fingerprints")
     fps = written(rows.select("fp").distinct(), "distinct")
     found = components(links(fps.select("fp"), fps.count(), max_distance))
     roots = fps.join(found, fps.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return rows.join(roots, "fp")
+    return rows, written(roots, "roots")
+
+
+def _least(rows: DataFrame, roots: DataFrame, value) -> DataFrame:
+    """(root, value): the least `value` of each component, first for each fingerprint, so that copies and groups
+    meet as partial sums and no join stands on top of an aggregate of a crowded key."""
+    each = rows.groupBy("fp").agg(F.min(value).alias("value"))
+    return written(each.join(roots, "fp").groupBy("root").agg(F.min("value").alias("value")), "least")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 3, max_distance: int = 3, seed: int = 42) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id."""
-    rows = _grouped(docs, words, max_distance, seed, ("doc_id",))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows, roots = _grouped(docs, words, max_distance, seed, ("doc_id",))
+    named = written(roots.join(_least(rows, roots, F.col("doc_id")), "root").select("fp", F.col("value").alias("component_id")), "named")
+    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, *, words: int = 3, max_distance: int = 3, seed: int = 42) -> DataFrame:
     """The rows of `docs` that stay, all columns: of each component the row with the smallest (non-null first)
     doc_id, ties by a hash of the text; of wholly equal rows one stays."""
-    rows = _grouped(docs, words, max_distance, seed, ("doc_id",))
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("k")).select(
-        F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
+    rows, roots = _grouped(docs, words, max_distance, seed, ("doc_id",))
+    first = _least(rows, roots, F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).select(
+        F.col("value.doc_id").alias("_id"), F.col("value.th").alias("_th"))
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_semi")
-    repeated = kept.groupBy("doc_id", F.xxhash64("text").alias("_th")).count().where("count > 1").limit(1).count()
+    repeated = rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
