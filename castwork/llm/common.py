@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +68,16 @@ def bucket_count(n_bytes: int, least: int = 128) -> int:
     return max(least, -(-n_bytes // BUCKET_TEXT_BYTES))
 
 
+def slices(b: pa.RecordBatch, size: int, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of about `size` bytes of text, at least a row each."""
+    held = np.cumsum(np.nan_to_num(pc.binary_length(b.column(text)).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + size, "right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (xor-shift and multiply rounds), as a new array."""
     x = x ^ (x >> np.uint64(30))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ship
+from .common import ship, slices
 
 FEATURES = 1 << 16
 GRAMS = (2, 3)
@@ -110,16 +110,6 @@ def is_held_out(doc_id, folds: int, fold: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == fold
 
 
-def _batches(b: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about `size` bytes of text, at least a row each."""
-    held = np.cumsum(np.nan_to_num(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)))
-    at = 0
-    while at < b.num_rows:
-        to = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + size, "right")))
-        yield b.slice(at, to - at)
-        at = to
-
-
 def _distinct(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct lower-cased words, index of each word in order, words of each document)."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
@@ -135,7 +125,7 @@ def fit(docs: DataFrame, *, folds: int = 4, fold: int = 2) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for b in _batches(batch, TEXT_AT_ONCE):
+            for b in slices(batch, TEXT_AT_ONCE):
                 langs = b.column("lang").to_pylist()
                 names = sorted(set(langs))
                 words, index, sizes = _distinct(b.column("text"))
@@ -264,7 +254,7 @@ def identify(docs: DataFrame, model: Model, *, folds: int = 4, fold: int = 2, sw
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.langs)
         for batch in batches:
-            for b in _batches(batch, TEXT_AT_ONCE):
+            for b in slices(batch, TEXT_AT_ONCE):
                 words, index, sizes = _distinct(b.column("text"))
                 labels, lens, claimed = _label(model, words, index, sizes, switch)
                 doc = np.repeat(np.arange(len(sizes)), sizes)

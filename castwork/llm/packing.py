@@ -20,45 +20,96 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructType
 
-from .common import ship
+from .common import ship, slices
 
-#: Blanks at which every word of the vocabulary ends; other white space is left to the tokenizer.
-BLANKS = regex.compile(r"[ \t\n\r]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+TOGETHER = 256
+TEXT_AT_ONCE = 8 << 20
+#: Trailing marks that never join with a letter before them.
+MARKS = ",.;:!?"
 
 
 class WordIds:
     """ids of a text as unsigned 32-bit bytes, each distinct word encoded once while it stays in a bounded cache.
 
-    Exact for tokenizers that drop white space between words (nothing they do looks across it)."""
+    For tokenizers that fold case and drop white space between words: nothing they do looks across it. Words of
+    letters alone are one pre-token each, so many are encoded in one call and told apart by their end-of-word ids.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.split(" ") if t and not _other_blank(t) else BLANKS.split(t) if t else [] for t in texts]
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known = self.known = {}
-            new = list({w for ws in split for w in ws})
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True))
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
-
-
-def _other_blank(t: str) -> bool:
-    return "\n" in t or "\t" in t or "\r" in t
+        t = self.tokenizer = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        vocab = t.get_vocab()
+        self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.special = {x.content[:2] for x in t.get_added_tokens_decoder().values()}
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _single(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(ends) == len(g) and ends[-1] == len(ids):
+                raw = ids.tobytes()
+                out += [raw[4 * s : 4 * e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+            else:
+                out += self._single(g)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        known, stems, other = self.known, set(), []
+        for w in new:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha():
+                stems.add(stem)
+            else:
+                other.append(w)
+        marks = {w[len(w.rstrip(MARKS)) :] for w in new}
+        for words, encode in ((sorted(stems - known.keys()), self._letters), (sorted(marks - known.keys()), self._single), (other, self._single)):
+            known.update(zip(words, encode(words), strict=True))
+        for w in new:
+            if w not in known:
+                stem = w.rstrip(MARKS)
+                known[w] = known[stem] + known[w[len(stem) :]]
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts, "")
+        # A special token is met as it is spelt: texts that may hold one are encoded by themselves, case and all.
+        odd = np.zeros(len(texts), bool)
+        for x in self.special:
+            odd |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(odd), "", texts)))
+        coded = pc.list_flatten(lists).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) > CACHE_WORDS:
+            self.known = {"": b""}
+        self._learn([w for w in words if w not in self.known])
+        found = list(map(self.known.__getitem__, words))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = size[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cut = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)] * 4
+        out = [raw[s:e] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self._single([texts[i].as_py()])[0]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -145,11 +196,9 @@ def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, piece: i
         ids_of, part = word_ids(path), TaskContext.get().partitionId()
         full = block = held = 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                b = batch.slice(i, 512)
-                texts, keys = b.column("text").to_pylist(), []
-                rows: list[tuple] = []
-                for j, ids in enumerate(ids_of(texts)):
+            for b in slices(batch, TEXT_AT_ONCE):
+                keys, rows = [], []
+                for j, ids in enumerate(ids_of(b.column("text"))):
                     ids += end
                     n = len(ids) // 4
                     at = 0
