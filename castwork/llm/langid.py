@@ -241,6 +241,8 @@ def _label(model: Model, words: pa.Array, index: np.ndarray, sizes: np.ndarray,
     if not len(words):
         return index, index, index.astype(bool)
     w = distinct_words(words)
+    if not model.langs:
+        return np.zeros_like(index), w.letters[index], np.zeros(len(index), bool)
     scores = word_scores(model, w)
     return viterbi(scores[index], sizes, switch), w.letters[index], ~(scores == 0).all(1)[index]
 

@@ -45,6 +45,7 @@ _CORE = re.compile(r"[0-9A-Za-z]")
 
 #: Neighbouring added tokens are parts of one card or phone number up to so many digits.
 JOINED = {3: 19, 4: 15}
+UNMET_NONE = 0.8  # a shape that was never met is O unless its links say otherwise
 CORE_LEAST = 6  # shorter cores are too common to link
 ROUNDS = 30
 SETTLED = 1e-3
@@ -195,8 +196,7 @@ def fit(docs: DataFrame) -> Model:
             pair[r.kind][r.a, r.b] += r.n
         else:
             node.setdefault(r.kind, np.zeros(K))[r.a] += r.n
-    total = sum(node.values(), np.zeros(K))
-    prior = (total + 1) / (total.sum() + K)
+    prior = np.array([UNMET_NONE, *[(1 - UNMET_NONE) / (K - 1)] * (K - 1)])
     # A shape is certain only as far as it has been met: counts are smoothed towards the prior and kept finite.
     log = {s: np.log((c + 2 * prior) / (c.sum() + 2)) for s, c in node.items()}
 
