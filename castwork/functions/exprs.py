@@ -53,10 +53,14 @@ def midnight_minus_days(as_of: dt.date, days: int) -> Column:
     return ts_ntz(as_of - dt.timedelta(days=days))
 
 
-def normalize_ref(raw: Column) -> Column:
-    """Recover ``J-######`` from free text, NULL when none can be found."""
+def normalize_ref(raw: Column, most_digits: int = 6) -> Column:
+    """Recover ``J-######`` from free text, NULL when none can be found.
+
+    Plants with more jobs than six digits can number state the longest job
+    number in ``most_digits``; the rule is otherwise the same."""
     cleaned = F.upper(F.trim(raw))
-    digits = F.nullif(F.regexp_extract(cleaned, JOB_REF_PATTERN, 1), F.lit(""))
+    pattern = JOB_REF_PATTERN.replace("{6}", f"{{6,{most_digits}}}") if most_digits > 6 else JOB_REF_PATTERN
+    digits = F.nullif(F.regexp_extract(cleaned, pattern, 1), F.lit(""))
     return (F.when(raw.isNull() | (F.trim(raw) == ""), F.lit(None).cast("string"))
             .otherwise(F.concat(F.lit(JOB_REF_PREFIX), digits)))
 

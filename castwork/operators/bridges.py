@@ -59,7 +59,7 @@ def job_board_item(t: Tables) -> DataFrame:
     """Board items with their 'Job #' text, raw and normalised."""
     cv = t.column_value.where(F.col("column_title") == JOB_REF_TITLE).select("item_id", "text_value")
     return (cv.join(t.board_item, "item_id")
-            .select(normalize_ref(F.col("text_value")).alias("resolved_job_num"),
+            .select(normalize_ref(F.col("text_value"), t.job_ref_digits).alias("resolved_job_num"),
                     F.col("text_value").alias("raw_job_ref"),
                     "item_id", "board_name", "item_name", "status", "customer", "promised_date", "created_at"))
 

@@ -138,7 +138,7 @@ QUERIES.update({
 
 
 QUERIES.update({
-    "week_starts": lambda t: t.job_head.where(~F.col("job_closed")).select(
+    "week_starts": lambda t: t.job_head.select(
         "job_num", "req_due_date", week_start(F.col("req_due_date")).alias("week_start")),
     "pending_ops": lambda t: schedule.pending_ops(t),
     "centre_capacity": lambda t: schedule.centre_capacity(t, as_of=Q),

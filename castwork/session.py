@@ -64,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         return current
     if not current:
         current = sc.getCheckpointDir()
+    if not current and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="castwork-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)

@@ -56,7 +56,8 @@ def _job_num(orderkey) -> F.Column:
 
 
 def _part_num(partkey) -> F.Column:
-    return F.concat(F.lit("P-"), F.lpad(partkey.cast("string"), 6, "0"))
+    text = partkey.cast("string")
+    return F.concat(F.lit("P-"), F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text))
 
 
 def _hours(n) -> F.Column:
@@ -202,9 +203,9 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
                 F.lit("A356").alias("alloy_spec"),
                 "pour_date",
                 (F.col("first_order") + _hours(F.lit(6))).alias("poured_at"),
-                (F.col("q") * 40).cast("decimal(9,2)").alias("lbs_charged"),
-                (F.col("q") * 36).cast("decimal(9,2)").alias("lbs_poured"),
-                (F.col("q") * 4).cast("decimal(9,2)").alias("lbs_returns"),
+                (F.col("q") * 40).cast("decimal(18,2)").alias("lbs_charged"),
+                (F.col("q") * 36).cast("decimal(18,2)").alias("lbs_poured"),
+                (F.col("q") * 4).cast("decimal(18,2)").alias("lbs_returns"),
                 (F.lit(12) - F.col("disc") * 8
                  - F.when((F.col("f") == 3) & (F.col("pour_date") >= F.lit(DEGAS_DROP_FROM)), F.lit(4)).otherwise(F.lit(0))
                  ).cast("decimal(5,2)").alias("degas_minutes"),
@@ -261,7 +262,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
                .when(k % 12 == 2, F.concat(F.lit("J"), ref.cast("string")))
                .when(k % 12 == 3, ref.cast("string"))
                .when(k % 12 == 4, F.concat(F.lit("Job "), ref.cast("string")))
-               .when(k % 12 == 5, F.concat(F.lit("J-"), (F.lit(900000) + k % 1000).cast("string")))
+               .when(k % 12 == 5, F.concat(F.lit("J-000"), F.lpad((k % 1000).cast("string"), 3, "0")))
                .when(k % 12 == 6, F.concat(F.lit("  j-"), ref.cast("string"), F.lit(" ")))
                .otherwise(F.concat(F.lit("J-"), ref.cast("string"))))
     priority = (F.when(k % 4 == 0, "Low").when(k % 4 == 1, "Medium").when(k % 4 == 2, "High").otherwise("Critical"))
@@ -290,7 +291,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
         job_head=job_head, job_oper=job_oper, labor_dtl=labor_dtl, scrap_dtl=scrap_dtl,
         heat=heat, pour_record=pour_record, tag_history=tag_history, downtime_event=downtime_event,
         board_item=board_item, column_value=column_value, part_pattern=part_pattern, wc_tag=wc_tag,
-        request_event=request_event,
+        request_event=request_event, job_ref_digits=12,  # order keys go beyond six digits
     )
     _cache[key] = (spark, t)
     return t

@@ -10,6 +10,7 @@ extracts land as Parquet and every query prunes and pushes down into them.
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import os
 from concurrent.futures import ThreadPoolExecutor
 
@@ -76,6 +77,7 @@ class Tables:
     part_pattern: DataFrame
     wc_tag: DataFrame
     request_event: DataFrame
+    job_ref_digits: int = 6  # longest job number that a typed reference may hold (B01)
 
     def items(self):
         return [(n, getattr(self, n)) for n in TABLE_NAMES]
@@ -86,8 +88,8 @@ class Tables:
             df.createOrReplaceTempView(prefix + name)
 
     @staticmethod
-    def from_parquet(spark: SparkSession, root: str) -> "Tables":
-        return Tables(**{n: spark.read.parquet(os.path.join(root, n)) for n in TABLE_NAMES})
+    def from_parquet(spark: SparkSession, root: str, job_ref_digits: int = 6) -> "Tables":
+        return Tables(**{n: spark.read.parquet(os.path.join(root, n)) for n in TABLE_NAMES}, job_ref_digits=job_ref_digits)
 
     def materialize(self, root: str, files_per_table: int | None = None,
                     job_buckets: int | None = None, database: str | None = None,
@@ -105,7 +107,7 @@ class Tables:
         """
         spark = self.part.sparkSession
         if job_buckets:
-            db = database or "castwork_model"
+            db = database or f"castwork_{hashlib.md5(root.encode()).hexdigest()[:12]}"  # one database for each root
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}'")
             tables = {}
             for name, df in self.items():
@@ -114,7 +116,7 @@ class Tables:
                     w = w.bucketBy(job_buckets, "job_num").sortBy(*JOB_KEYED[name])
                 w.saveAsTable(f"{db}.{name}")
                 tables[name] = spark.table(f"{db}.{name}")
-            return Tables(**tables)
+            return Tables(**tables, job_ref_digits=self.job_ref_digits)
 
         def write(item) -> None:
             name, df = item
@@ -129,4 +131,4 @@ class Tables:
         # Independent writes run as concurrent Spark jobs.
         with ThreadPoolExecutor(max_workers=parallel_writes) as pool:
             list(pool.map(write, self.items()))
-        return Tables.from_parquet(spark, root)
+        return Tables.from_parquet(spark, root, self.job_ref_digits)

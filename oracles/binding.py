@@ -13,7 +13,7 @@ AS_OF = "DATE '2001-08-01'"
 
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "part_b": ("""
-SELECT p_partkey, concat('P-', lpad(CAST(p_partkey AS VARCHAR), 6, '0')) AS part_num, p_name AS description, p_type AS alloy,
+SELECT p_partkey, concat('P-', lpad(CAST(p_partkey AS VARCHAR), greatest(6, length(CAST(p_partkey AS VARCHAR)))::INT, '0')) AS part_num, p_name AS description, p_type AS alloy,
   CASE WHEN p_partkey % 2 = 0 THEN 'SAND' ELSE 'PERM_MOLD' END AS process, concat('PN-', CAST(p_partkey % 50 AS VARCHAR)) AS pattern_num,
   CAST(1 + p_partkey % 4 AS INTEGER) AS cavities,
   CAST(p_size AS DECIMAL(8,2)) AS target_wt_lbs, p_brand AS customer_code, p_type AS industry FROM part""", ()),
@@ -25,7 +25,7 @@ SELECT * FROM (VALUES ('RC1', 'Gas porosity', 'MELT'), ('RC2', 'Shrinkage porosi
   ('RC4', 'Misrun', 'MOLD'), ('RC5', 'Inclusion', 'MELT'), ('RC6', 'Core break or shift', 'CORE'),
   ('RC7', 'Dimensional out of tolerance', 'MACHINE')) AS v(reason_code, description, category)""", ()),
     "job_head_b": ("""
-SELECT concat('J-', CAST(100000 + o.o_orderkey AS VARCHAR)) AS job_num, concat('P-', lpad(CAST(l.pk AS VARCHAR), 6, '0')) AS part_num,
+SELECT concat('J-', CAST(100000 + o.o_orderkey AS VARCHAR)) AS job_num, concat('P-', lpad(CAST(l.pk AS VARCHAR), greatest(6, length(CAST(l.pk AS VARCHAR)))::INT, '0')) AS part_num,
   l.qty AS qty_ordered, l.good AS qty_completed, CAST(CAST(o.o_orderdate AS DATE) + CAST(10 + o.o_orderkey % 35 AS INT) AS DATE) AS req_due_date,
   (o.o_orderstatus = 'F' OR o.o_orderdate < TIMESTAMP '2001-06-02 00:00:00') AS job_closed, o.o_orderdate AS created_at
   FROM orders o JOIN (SELECT l_orderkey, min(l_partkey) AS pk, CAST(sum(l_quantity) AS BIGINT) AS qty,
@@ -61,7 +61,7 @@ SELECT concat('H-', CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR), '-F', CAST(1 +
     "heat_b": ("""
 SELECT concat('H-', CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR), '-F', CAST(1 + l.l_suppkey % 3 AS VARCHAR)) AS heat_num,
   concat('FURN-', CAST(1 + l.l_suppkey % 3 AS VARCHAR)) AS furnace_id, 'A356' AS alloy_spec, CAST(o.o_orderdate AS DATE) AS pour_date, min(o.o_orderdate) + INTERVAL '6' HOUR AS poured_at,
-  CAST(sum(l.l_quantity) * 40 AS DECIMAL(9,2)) AS lbs_charged, CAST(sum(l.l_quantity) * 36 AS DECIMAL(9,2)) AS lbs_poured, CAST(sum(l.l_quantity) * 4 AS DECIMAL(9,2)) AS lbs_returns,
+  CAST(sum(l.l_quantity) * 40 AS DECIMAL(18,2)) AS lbs_charged, CAST(sum(l.l_quantity) * 36 AS DECIMAL(18,2)) AS lbs_poured, CAST(sum(l.l_quantity) * 4 AS DECIMAL(18,2)) AS lbs_returns,
   CAST(12 - CAST(min(l.l_discount) AS DECIMAL(4,2)) * 8 - CASE WHEN 1 + l.l_suppkey % 3 = 3 AND CAST(o.o_orderdate AS DATE) >= DATE '2001-06-06' THEN 4 ELSE 0 END AS DECIMAL(5,2)) AS degas_minutes,
   CASE WHEN min(l.l_orderkey) % 8 = 0 THEN NULL ELSE CAST(2.62 - CAST(min(l.l_discount) AS DECIMAL(4,2)) / 10 AS DECIMAL(5,3)) END AS rpt_density
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE l.l_returnflag = 'A' GROUP BY CAST(o.o_orderdate AS DATE), 1 + l.l_suppkey % 3, l.l_suppkey % 3""", ()),
@@ -82,7 +82,7 @@ SELECT 7700000000 + o_orderkey AS item_id, CASE o_orderkey % 3 WHEN 0 THEN 'Expe
   FROM orders WHERE o_orderpriority = '1-URGENT'""", ()),
     "column_value_b": ("""
 SELECT item_id, 'Job #' AS column_title, CASE o_orderkey % 12 WHEN 0 THEN '' WHEN 1 THEN 'TBD' WHEN 2 THEN concat('J', CAST(100000 + o_orderkey AS VARCHAR))
-    WHEN 3 THEN CAST(100000 + o_orderkey AS VARCHAR) WHEN 4 THEN concat('Job ', CAST(100000 + o_orderkey AS VARCHAR)) WHEN 5 THEN concat('J-', CAST(900000 + o_orderkey % 1000 AS VARCHAR))
+    WHEN 3 THEN CAST(100000 + o_orderkey AS VARCHAR) WHEN 4 THEN concat('Job ', CAST(100000 + o_orderkey AS VARCHAR)) WHEN 5 THEN concat('J-000', lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0'))
     WHEN 6 THEN concat('  j-', CAST(100000 + o_orderkey AS VARCHAR), ' ') ELSE concat('J-', CAST(100000 + o_orderkey AS VARCHAR)) END AS text_value FROM board_item_b
   UNION ALL SELECT item_id, 'Notes', concat('note ', CAST(o_orderkey % 6 AS VARCHAR)) FROM board_item_b
   UNION ALL SELECT item_id, 'Priority', CASE o_orderkey % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Critical' END FROM board_item_b""",

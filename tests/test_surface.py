@@ -14,11 +14,11 @@ def test_sql_surface(spark, bound):
 
 def test_notes(bound):
     r = run_tool(bound, "at_risk_jobs", {}, as_of=AS_OF, with_notes=True)
-    assert any("contended capacity" in n for n in r.notes)
+    assert any("order of due date" in n for n in r.notes)
     r = run_tool(bound, "get_job_detail", {"job_num": "J-999999"}, as_of=AS_OF, with_notes=True)
-    assert r.notes == ["No job J-999999 exists in the ERP."]
+    assert r.notes == ["The ERP holds no job J-999999."]
     r = run_tool(bound, "customer_commitments_for_job", {}, as_of=AS_OF, with_notes=True)
-    assert any("typed as" in n for n in r.notes)
+    assert any("several ways" in n for n in r.notes)
     r = run_tool(bound, "reconciliation_report", {}, as_of=AS_OF, with_notes=True)
     assert any("Match rates below 100%" in n for n in r.notes)
 
