@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, shared_dir, ship, text_bytes
+from .common import bucket_count, shared_dir, ship, text_bytes, trim
 
 BLOCK_BYTES = 2 << 20
 
@@ -163,6 +163,7 @@ def per_block(frame: DataFrame, fn: Callable[[Block, dict], Iterator[pa.RecordBa
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 yield from fn(Block(row), row)
+        trim()
 
     return frame.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -78,6 +79,16 @@ def slices(b: pa.RecordBatch, size: int, text: str = "text") -> Iterator[pa.Reco
         at = to
 
 
+def trim() -> None:
+    """Give freed memory back to the system at the end of a task: workers outlive tasks, and what one operator has
+    used must not count against the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (xor-shift and multiply rounds), as a new array."""
     x = x ^ (x >> np.uint64(30))

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ship, slices
+from .common import ship, slices, trim
 
 FEATURES = 1 << 16
 GRAMS = (2, 3)
 SWITCH = 12.0
 CHUNK = 256
-TEXT_AT_ONCE = 8 << 20
+TEXT_AT_ONCE = 2 << 20
 #: Multipliers of the n-gram hash (multiply-shift), by n-gram kind and letter.
 _ODD = np.random.Generator(np.random.PCG64(29)).integers(0, 2**62, (len(GRAMS), max(GRAMS))) * 2 + 1
 
@@ -86,7 +86,7 @@ def distinct_words(words: pa.Array) -> Words:
     letter = _LETTER[np.minimum(c, 0xFFFF)] | ((c >= 0x10000) & ((c < 0x1D800) | (c >= 0x20000)) & (c < 0xE0000))
     c = np.where(letter, c, 0).astype(np.uint64)
     m = len(c) - 1
-    grams = np.full((m, len(GRAMS)), FEATURES, np.int64)
+    grams = np.full((m, len(GRAMS)), FEATURES, np.int32)
     for j, n in enumerate(GRAMS):
         k = len(c) - n + 1
         if k <= 0:
@@ -97,7 +97,7 @@ def distinct_words(words: pa.Array) -> Words:
         inner = letter[1:k + 1].copy() if n > 2 else letter[:k] | letter[1 : k + 1]
         for i in range(2, n - 1):
             inner &= letter[i : i + k]
-        grams[:k, j] = np.where(inner, (h >> np.uint64(48)).astype(np.int64), FEATURES)
+        grams[:k, j] = np.where(inner, (h >> np.uint64(48)).astype(np.int32), np.int32(FEATURES))
     at = np.flatnonzero(letter)
     count = np.searchsorted(at, first + sizes) - np.searchsorted(at, first)
     lead = c[at[np.minimum(np.searchsorted(at, first), max(0, len(at) - 1))]].astype(np.int64) if len(at) else np.zeros(len(sizes), np.int64)
@@ -143,6 +143,7 @@ def fit(docs: DataFrame, *, folds: int = 4, fold: int = 2) -> Model:
                         s[:FEATURES] += np.bincount(g, weight, FEATURES + 1)[:FEATURES].astype(np.int64)
                     s[FEATURES:-1] += np.bincount(w.script, n * w.letters, OTHER_SCRIPT + 1).astype(np.int64)
         c = zstandard.ZstdCompressor()
+        trim()
         if sums:
             yield pa.record_batch([pa.array(list(sums)), pa.array([c.compress(v.tobytes()) for v in sums.values()], pa.binary())], names=["lang", "sums"])
 
@@ -270,6 +271,7 @@ def identify(docs: DataFrame, model: Model, *, folds: int = 4, fold: int = 2, sw
                     score, name = np.zeros(len(sizes)), ["und"] * len(sizes)
                 held = [is_held_out(i, folds, fold) for i in b.column("doc_id").to_pylist()]
                 yield pa.record_batch([*b.columns, pa.array(held), pa.array(name, pa.string()), pa.array(score)], names=[*b.schema.names, "held_out", "lang_pred", "score"])
+        trim()
 
     return docs.mapInArrow(run, schema)
 

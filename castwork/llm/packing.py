@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructType
 
-from .common import ship, slices
+from .common import ship, slices, trim
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 TOGETHER = 256
-TEXT_AT_ONCE = 8 << 20
+TEXT_AT_ONCE = 3 << 20
 #: Trailing marks that never join with a letter before them.
 MARKS = ",.;:!?"
 
@@ -217,6 +217,7 @@ def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, piece: i
                         block, held = block + 1, 0
                 cols = [b.column("doc_id").take(pa.array(keys, pa.int64())), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))]
                 yield pa.record_batch(cols, names=["doc_id", *longs, "_block"])
+        trim()
 
     def deal(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("length", "ascending"), ("ids_crc32", "ascending")])
