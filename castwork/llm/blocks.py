@@ -118,7 +118,9 @@ def pack(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
 
     name = f"castwork_blocks_{uuid.uuid4().hex}"
     blocks = docs.mapInArrow(build, BLOCK_SCHEMA)
-    (blocks.write.bucketBy(max(12, n_buckets // 4), "block").format("parquet").option("compression", "uncompressed")
+    # No fewer buckets than shuffle partitions: a join would else shuffle the texts to have more.
+    table_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets // 4)
+    (blocks.write.bucketBy(table_buckets, "block").format("parquet").option("compression", "uncompressed")
      .option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name))
     return spark.table(name), n_buckets
 
