@@ -211,8 +211,9 @@ def fit(docs: DataFrame) -> Model:
     return Model(log, np.log(prior), compatible(pair["\0chain"], 1.0), compatible(pair["\0skip"], 10.0))
 
 
-def propagate(node: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Beliefs (tokens, K) by damped loopy sum-product; `links` are (pairs, log potentials)."""
+def propagate(node: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]], doc: np.ndarray | None = None) -> np.ndarray:
+    """Beliefs (tokens, K) by damped loopy sum-product; `links` are (pairs, log potentials), `doc` the document of each
+    token. A document's messages rest once its own have settled, so what else is in the batch changes nothing."""
     pairs = [(p, w) for p, w in links if len(p)]
     if not pairs:
         return node
@@ -221,17 +222,21 @@ def propagate(node: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> n
     back = np.concatenate([np.r_[len(p) : 2 * len(p), 0 : len(p)] + 2 * sum(len(q) for q, _ in pairs[:i]) for i, (p, _) in enumerate(pairs)])
     weight = np.concatenate([np.repeat(np.exp(w)[None], 2 * len(p), 0) if np.allclose(w, w.T) else np.concatenate([np.repeat(np.exp(w)[None], len(p), 0), np.repeat(np.exp(w.T)[None], len(p), 0)]) for p, w in pairs])
     msg = np.zeros((len(src), K))
+    of = (np.zeros(len(node), np.int64) if doc is None else doc)[src]
+    live = np.ones(int(of.max()) + 1, bool)
     beliefs = node
     for _ in range(ROUNDS):
         out = beliefs[src] - msg[back]
         out = np.exp(out - out.max(1, keepdims=True))
         new = np.log(np.einsum("ek,ekl->el", out, weight))
         new -= new.max(1, keepdims=True)
-        moved = np.abs(new - msg).max()
-        msg = 0.5 * msg + 0.5 * new
+        moved = np.zeros(len(live))
+        np.maximum.at(moved, of, np.abs(new - msg).max(1))
+        msg = np.where(live[of][:, None], 0.5 * msg + 0.5 * new, msg)
         beliefs = node.copy()
         np.add.at(beliefs, dst, msg)
-        if moved < SETTLED:
+        live &= moved >= SETTLED
+        if not live.any():
             break
     return beliefs
 
@@ -247,7 +252,8 @@ def label(docs: list[Tokens], texts: list[str], model: Model) -> list[list[int]]
     node[fixed] = -30.0
     node[fixed, own[fixed]] = 0.0
     chain, skip = _links(docs, texts)
-    found = propagate(node, [(chain, model.chain), (skip, model.skip)]).argmax(1)
+    doc = np.repeat(np.arange(len(docs)), [len(t.core) for t in docs])
+    found = propagate(node, [(chain, model.chain), (skip, model.skip)], doc).argmax(1)
     out, at = [], 0
     for t in docs:
         out.append(found[at : at + len(t.core)].tolist())

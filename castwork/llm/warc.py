@@ -48,8 +48,10 @@ def write(pages: DataFrame, *, least: int = LEAST) -> str:
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("bytes", F.octet_length("html").cast("bigint"))
-    firsts = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    rows = rows.join(firsts, "digest", "left")
+    # Only payloads met more than once take part in the join, as a written table: it is small enough to be broadcast
+    # as a rule, and beyond that the join of a crowded payload can be split (not so on top of an aggregate).
+    firsts = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = rows.join(written(firsts, "firsts"), "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     url = F.col("url")
     for c in "\r\n\t ":
