@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from castwork.functions.exprs import normalize_ref, quote_literal, round_half_up
-from castwork.operators.joins import prefix_join, range_join
+from castwork.functions.exprs import normalize_ref, quote_literal, round_half_up, small
+from castwork.operators.joins import day_span, path_prefixes, prefix_join, range_join
 from castwork.sources.tables import Tables
 
 # Fixed names of the four bridged source pairs and the reasons reported.
@@ -47,12 +47,30 @@ def job_pattern(t: Tables) -> DataFrame:
 
 def job_heat(t: Tables) -> DataFrame:
     """Distinct (job, part, pattern, heat, poured_at) where a pour of the
-    job's pattern falls inside the job's window, both ends inclusive."""
-    jp = job_pattern(t).where(F.col("pattern_code").isNotNull())
-    windows = jp.join(job_window(t), "job_num")
-    pours = t.pour_record.select("pattern_code", "heat_num", "poured_at")
-    pairs = range_join(windows, pours, key="pattern_code", lo="started_at", hi="ended_at", t="poured_at")
-    return pairs.select("job_num", "part_num", "pattern_code", "heat_num", "poured_at").distinct()
+    job's pattern falls inside the job's window, both ends inclusive.
+
+    Both sides are made distinct before they meet (repeated pours of a heat
+    would else be joined and dropped afterwards), so the pairs need no distinct."""
+    pours = t.pour_record.select("pattern_code", "heat_num", "poured_at").distinct()
+    pairs = range_join(_pattern_windows(t), pours, key="pattern_code", lo="started_at", hi="ended_at", t="poured_at")
+    return pairs.select("job_num", "part_num", "pattern_code", "heat_num", "poured_at")
+
+
+def _pattern_windows(t: Tables) -> DataFrame:
+    """(job, part, pattern, window): one row per job and mapped pattern."""
+    mapped = t.part_pattern.select("part_num", "pattern_code").where(F.col("pattern_code").isNotNull()).distinct()
+    return t.job_head.select("job_num", "part_num").join(mapped, "part_num").join(job_window(t), "job_num")
+
+
+def _jobs_with_heat(t: Tables) -> DataFrame:
+    """Jobs that have some row in B04: a semi join, which stops at the first pour
+    met and never builds the (job, heat) pairs."""
+    w = _pattern_windows(t).withColumn("_day", F.explode(day_span(F.col("started_at"), F.col("ended_at"))))
+    p = t.pour_record.select(F.col("pattern_code").alias("_pattern"), "poured_at").distinct() \
+        .withColumn("_poured_day", F.col("poured_at").cast("date"))
+    met = ((F.col("pattern_code") == F.col("_pattern")) & (F.col("_day") == F.col("_poured_day"))
+           & (F.col("poured_at") >= F.col("started_at")) & (F.col("poured_at") <= F.col("ended_at")))
+    return w.join(p, met, "left_semi").select("job_num").distinct()
 
 
 def job_board_item(t: Tables) -> DataFrame:
@@ -65,13 +83,25 @@ def job_board_item(t: Tables) -> DataFrame:
 
 
 def wc_tag_resolved(t: Tables) -> DataFrame:
-    """Historian samples under a work centre's tag prefix."""
-    return (prefix_join(t.tag_history, "tag_path", t.wc_tag.select("wc_code", "tag_prefix", "signal_role"))
+    """Historian samples under a work centre's tag prefix.
+
+    Paths are split once per distinct tag, not per sample; the samples then meet
+    a (tag, centre, role) map. The map grows with the number of tags, so it is
+    broadcast behind a size check like any other side."""
+    tags = t.tag_history.select("tag_path").distinct()
+    owners = prefix_join(tags, "tag_path", t.wc_tag.select("wc_code", "tag_prefix", "signal_role"))
+    return (t.tag_history.join(small(owners.select("tag_path", "wc_code", "signal_role")), "tag_path")
             .select("wc_code", "signal_role", "tag_path", "ts", "value_float", "quality"))
 
 
-def _distinct_tags(t: Tables) -> DataFrame:
-    return t.tag_history.select("tag_path").distinct()
+def _tags_mapped(t: Tables) -> DataFrame:
+    """(tag_path, mapped) for every distinct tag path of the historian. The
+    group by tag_path reuses the partitioning of the distinct before it."""
+    owned = t.wc_tag.select(F.col("tag_prefix").alias("_pfx")).distinct().withColumn("_owned", F.lit(True))
+    tags = t.tag_history.select("tag_path").distinct()
+    return (tags.withColumn("_pfx", F.explode_outer(path_prefixes(F.col("tag_path"))))
+            .join(small(owned), "_pfx", "left")
+            .groupBy("tag_path").agg(F.coalesce(F.max("_owned"), F.lit(False)).alias("mapped")))
 
 
 def match_rate(t: Tables) -> DataFrame:
@@ -90,13 +120,11 @@ def match_rate(t: Tables) -> DataFrame:
     r2 = items.agg(F.lit(PAIR_BOARD_JOB).alias("source_pair"),
                    F.count_if(F.col("_job").isNotNull()).alias("matched"),
                    F.count(F.lit(1)).alias("total"))
-    tags = _distinct_tags(t)
-    hit = prefix_join(tags, "tag_path", t.wc_tag, how="left_semi").select(F.col("tag_path").alias("_hit"))
-    r3 = tags.join(hit, F.col("tag_path") == F.col("_hit"), "left").agg(
+    r3 = _tags_mapped(t).agg(
         F.lit(PAIR_TAG_WC).alias("source_pair"),
-        F.count_if(F.col("_hit").isNotNull()).alias("matched"),
+        F.count_if(F.col("mapped")).alias("matched"),
         F.count(F.lit(1)).alias("total"))
-    with_heat = job_heat(t).select(F.col("job_num").alias("_hj")).distinct()
+    with_heat = _jobs_with_heat(t).select(F.col("job_num").alias("_hj"))
     r4 = t.job_head.select("job_num").join(with_heat, F.col("job_num") == F.col("_hj"), "left").agg(
         F.lit(PAIR_JOB_HEAT).alias("source_pair"),
         F.count_if(F.col("_hj").isNotNull()).alias("matched"),
@@ -133,7 +161,7 @@ def unmatched(t: Tables) -> DataFrame:
         .select(F.lit(PAIR_BOARD_JOB).alias("source_pair"), F.col("item_id").cast("string").alias("identifier"),
                 F.concat(F.lit("Job # parsed to "), F.col("resolved_job_num"),
                          F.lit(" but no such job exists in the ERP")).alias("reason"))
-    tags = prefix_join(_distinct_tags(t), "tag_path", t.wc_tag, how="left_anti").select(
+    tags = _tags_mapped(t).where(~F.col("mapped")).select(
         F.lit(PAIR_TAG_WC).alias("source_pair"), F.col("tag_path").alias("identifier"),
         F.lit(REASON_NO_TAG).alias("reason"))
     return parts.unionByName(poured).unionByName(bad_ref).unionByName(no_job).unionByName(tags)

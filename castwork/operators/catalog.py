@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castwork.operators import bridges
+from castwork.operators.joins import prefix_join
 from castwork.sources.tables import SYSTEM_OF, TABLE_NAMES, Tables
 
 MAX_LIMIT = 100
@@ -28,6 +29,19 @@ VIEWS: dict[str, Callable[[Tables], DataFrame]] = {
     "unmatched": bridges.unmatched,
 }
 
+def _samples_resolved(t: Tables) -> DataFrame:
+    """Rows of wc_tag_resolved: each tag's samples times the prefixes that own it."""
+    per_tag = t.tag_history.groupBy("tag_path").agg(F.count(F.lit(1)).alias("n"))
+    return prefix_join(per_tag, "tag_path", t.wc_tag.select("wc_code", "tag_prefix", "signal_role")) \
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
+# Views with one row per job, and the samples counted per tag.
+COUNTS: dict[str, Callable[[Tables], DataFrame]] = {
+    "job_window": lambda t: t.job_head.agg(F.count(F.lit(1)).alias("rows")),
+    "wc_tag_resolved": _samples_resolved,
+}
+
 # Unique ordering key per relation, so a page is the same page every time.
 PAGE_KEYS = {
     "part": ["part_num"], "work_center": ["wc_code"], "scrap_reason": ["reason_code"], "job_head": ["job_num"],
@@ -46,9 +60,10 @@ def relations(t: Tables) -> dict[str, tuple[str, str, DataFrame]]:
 
 def catalog(t: Tables) -> DataFrame:
     """Every relation with its kind and exact row count (one union of
-    count aggregates; Parquet tables answer from footers)."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(s).alias("schema"), F.lit(n).alias("name"), F.lit(k).alias("kind"), "rows")
+    count aggregates; Parquet tables answer from footers). A view whose count
+    follows from less than its rows has its own count in ``COUNTS``."""
+    parts = [(COUNTS[n](t) if k == "view" and n in COUNTS else df.agg(F.count(F.lit(1)).alias("rows"))).select(
+        F.lit(s).alias("schema"), F.lit(n).alias("name"), F.lit(k).alias("kind"), F.col("rows").cast("bigint").alias("rows"))
         for n, (s, k, df) in relations(t).items()]
     out = parts[0]
     for p in parts[1:]:

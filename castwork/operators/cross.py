@@ -66,6 +66,15 @@ def _job_tags(t: Tables) -> DataFrame:
             .join(bridges.job_window(t), "job_num"))
 
 
+def _bridged(df: DataFrame, t: Tables) -> DataFrame:
+    """``df`` once per '/'-prefix of its tag_path that some work centre owns.
+    Prefixes nobody owns (the plant, a cell) are dropped before any shuffle:
+    they would gather every sample of a day under one key and match nothing."""
+    owned = t.wc_tag.select("tag_prefix").distinct()
+    return df.withColumn("tag_prefix", F.explode(path_prefixes(F.col("tag_path")))) \
+        .join(small(owned), "tag_prefix", "left_semi")
+
+
 def machine_signal(t: Tables, *, signal_role: str | None = None, good_only: bool = False) -> DataFrame:
     """Per (job, wc, role, tag) the historian samples inside the job's
     window: count, mean, min, max (2 dp). Quality is not filtered unless
@@ -83,9 +92,7 @@ def machine_signal(t: Tables, *, signal_role: str | None = None, good_only: bool
     th = t.tag_history
     if good_only:
         th = th.where(F.col("quality") == 192)
-    s = th.select("tag_path", "ts", "value_float",
-                  F.explode(path_prefixes(F.col("tag_path"))).alias("tag_prefix")) \
-        .withColumn("_day", F.col("ts").cast("date"))
+    s = _bridged(th.select("tag_path", "ts", "value_float"), t).withColumn("_day", F.col("ts").cast("date"))
     keys = ["job_num", "wc_code", "signal_role", "tag_path"]
     d0, d1 = F.col("started_at").cast("date"), F.col("ended_at").cast("date")
     # Interior days: fully covered, joined to per-day partials.
@@ -115,9 +122,9 @@ def machine_downtime(t: Tables) -> DataFrame:
     """Downtime events on the job's centres that started inside its
     window (no reason filter); open events have NULL hours."""
     jt = _job_tags(t).withColumn("_day", F.explode(day_span(F.col("started_at"), F.col("ended_at"))))
-    de = t.downtime_event.select(
-        "tag_path", F.col("started_at").alias("ev_start"), F.col("ended_at").alias("ev_end"), "reason_text",
-        F.explode(path_prefixes(F.col("tag_path"))).alias("tag_prefix")).withColumn("_day", F.col("ev_start").cast("date"))
+    de = _bridged(t.downtime_event.select(
+        "tag_path", F.col("started_at").alias("ev_start"), F.col("ended_at").alias("ev_end"), "reason_text"), t) \
+        .withColumn("_day", F.col("ev_start").cast("date"))
     pairs = jt.join(de, ["tag_prefix", "_day"]).where(
         (F.col("ev_start") >= F.col("started_at")) & (F.col("ev_start") <= F.col("ended_at")))
     return pairs.select("job_num", "wc_code", "tag_path", F.col("ev_start").alias("started_at"),

@@ -12,9 +12,10 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from castwork.operators import anomalies, bridges, cross, jobs, ops, scrap
-from castwork.plans.result import Result
+from castwork.plans.result import Result, cap_rows, sort_keys
 from castwork.sources.tables import Tables
 
 DEPTS = ("MELT", "MOLD", "CORE", "CLEAN", "HEAT_TREAT", "MACHINE")
@@ -56,7 +57,18 @@ def _heat_history(t: Tables, *, as_of: dt.date, job_num: str) -> dict[str, DataF
 
 
 def _machine(t: Tables, *, job_num: str, signal_role: str | None = None) -> dict[str, DataFrame]:
-    return {"tags": jobs.for_job(cross.machine_signal(t, signal_role=signal_role), job_num),
+    """One job: its window (one row) is read first, so that the historian is
+    scanned for that time only instead of from end to end."""
+    window = jobs.for_job(bridges.job_window(t), job_num)
+    span = window.first()
+    if span is not None and span["started_at"] is not None and span["ended_at"] is not None:
+        def within(df: DataFrame, col: str) -> DataFrame:
+            kind = df.schema[col].dataType
+            lo, hi = (F.lit(span[c].isoformat(" ")).cast(kind) for c in ("started_at", "ended_at"))
+            return df.where(F.col(col).between(lo, hi))
+        t = dataclasses.replace(t, tag_history=within(t.tag_history, "ts"), downtime_event=within(t.downtime_event, "started_at"))
+    return {"window": window,
+            "tags": jobs.for_job(cross.machine_signal(t, signal_role=signal_role), job_num),
             "downtime_events": jobs.for_job(cross.machine_downtime(t), job_num)}
 
 
@@ -80,7 +92,7 @@ TOOLS: dict[str, Tool] = {t.name: t for t in [
     Tool("get_job_detail", ("erp",), {"job_num": Param(str, required=True)}, _job_detail),
     Tool("at_risk_jobs", ("erp", "historian", "xref"), {
         "dept": Param(str, choices=DEPTS), "horizon_days": Param(int, 30, lo=1, hi=120)},
-        _one("jobs", jobs.at_risk_jobs)),
+        lambda t, **kw: {"jobs": jobs.at_risk_jobs(t, **kw), "totals": jobs.at_risk_summary(t, **kw)}),
     Tool("scrap_by_reason", ("erp",), {
         "part_num": Param(str), "wc_code": Param(str), "dept": Param(str, choices=DEPTS), "customer_code": Param(str),
         "days_back": Param(int, 90, lo=1, hi=600), "group_by_part": Param(bool, False)},
@@ -111,11 +123,29 @@ TOOLS: dict[str, Tool] = {t.name: t for t in [
 ]}
 
 
+# The order in which each frame of a result is read ("-x": descending).
+ORDER: dict[str, dict[str, tuple[str, ...]]] = {
+    "get_open_jobs": {"jobs": ("days_to_due", "job_num")},
+    "get_job_detail": {"header": ("job_num",), "operations": ("oper_seq",), "scrap_by_reason": ("-qty", "reason_code"),
+                       "labor_by_shift": ("shift",), "cost": ("job_num",), "scrap": ("job_num",)},
+    "at_risk_jobs": {"jobs": ("verdict_rank", "days_to_due", "job_num"), "totals": ("assessed_jobs",)},
+    "scrap_by_reason": {"by_reason": ("-scrap_qty", "reason_code")},
+    "scrap_trend": {"series": ("week",)},
+    "labor_efficiency": {"groups": ("-ratio",)},
+    "work_center_load": {"rows": ("week", "wc_code")},
+    "job_cost_summary": {"groups": ("-act_labor_usd",)},
+    "heat_history_for_job": {"summary": ("pattern_code",), "heats": ("poured_at", "heat_num")},
+    "machine_signal_for_job": {"window": ("job_num",), "tags": ("wc_code", "tag_path"), "downtime_events": ("started_at", "tag_path")},
+    "customer_commitments_for_job": {"items": ("promised_date", "item_id")},
+    "reconciliation_report": {"match_rates": ("match_pct",), "unmatched_summary": ("source_pair",),
+                              "unmatched_detail": ("source_pair", "identifier")},
+    "dashboard_findings": {"findings": ("position",)},
+}
+
+
 def validate(tool: Tool, raw: dict[str, Any]) -> dict[str, Any]:
-    """Typed parameters with defaults; raises ValueError on bad input."""
-    unknown = set(raw) - set(tool.params)
-    if unknown:
-        raise ValueError(f"unknown parameter(s): {', '.join(sorted(unknown))}")
+    """Typed parameters with defaults; raises ValueError on bad input.
+    Parameters the tool does not declare are dropped."""
     out: dict[str, Any] = {}
     for name, p in tool.params.items():
         v = raw.get(name, p.default)
@@ -139,9 +169,11 @@ def validate(tool: Tool, raw: dict[str, Any]) -> dict[str, Any]:
 
 
 def run_tool(t: Tables, name: str, raw: dict[str, Any] | None = None, *, as_of: dt.date,
-             with_notes: bool = False) -> Result:
-    """Errors are values; the DataFrames in a good result are lazy.
-    ``with_notes`` adds the R07 caveats (small probes on the result)."""
+             with_notes: bool = False, with_rows: bool = False) -> Result:
+    """Errors are values, those met while running too; the DataFrames in
+    a good result are lazy and whole. ``with_rows`` adds what a reader sees:
+    each frame's first rows in the tool's order, capped (R01). ``with_notes``
+    adds the R07 caveats (small probes on the result)."""
     tool = TOOLS.get(name)
     if tool is None:
         return Result({}, (), [], error=f"Unknown tool: {name}")
@@ -151,8 +183,15 @@ def run_tool(t: Tables, name: str, raw: dict[str, Any] | None = None, *, as_of:
         return Result({}, tool.sources, [], error=f"Invalid input for {name}: {e}")
     if tool.uses_as_of:
         params["as_of"] = as_of
-    res = Result(tool.run(t, **params), tool.sources, [])
-    if with_notes:
-        from castwork.plans.notes import add_notes
-        add_notes(name, res, params)
+    res = Result({}, tool.sources, [])
+    try:
+        res.data = tool.run(t, **params)
+        if with_rows:
+            for key, df in res.data.items():
+                res.rows[key] = cap_rows(df, sort_keys(df, ORDER[name][key]), res.notes)
+        if with_notes:
+            from castwork.plans.notes import add_notes
+            add_notes(name, res, params)
+    except Exception as e:  # a tool that fails is an answer to its caller
+        return Result({}, tool.sources, [], error=f"{name} failed: {e}")
     return res

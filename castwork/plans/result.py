@@ -22,12 +22,22 @@ class Result:
     sources: tuple[str, ...]
     notes: list[str] = dataclasses.field(default_factory=list)
     error: str | None = None
+    rows: dict[str, list] = dataclasses.field(default_factory=dict)  # shown rows, where asked for
 
     @property
     def ok(self) -> bool:
         return self.error is None
 
 
+def sort_keys(df: DataFrame, order: tuple[str, ...]) -> list[Column]:
+    """``order`` ("-x": descending; nulls last), then every other column, so
+    that ties always fall the same way."""
+    named = [c.removeprefix("-") for c in order]
+    first = [F.col(n).desc_nulls_last() if c.startswith("-") else F.col(n).asc_nulls_last()
+             for c, n in zip(order, named, strict=True)]
+    return first + [F.col(c) for c in df.columns if c not in named]
+
+
 def cap_rows(df: DataFrame, order: list[str | Column], notes: list[str], limit: int = MAX_ROWS) -> list:
     """The first ``limit`` rows in ``order``; if there were more, a note
     with the total. Reads ``limit + 1`` rows (a top-k), counts only when
