@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from .blocks import PAYLOAD_SCHEMA, Block, answers_of, pack, payload_rows, per_block, per_bucket, squeeze, unsqueeze, with_answers
-from .common import written
 
 #: Fixed value: the byte-level pre-tokenization pattern.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -128,7 +127,8 @@ def encode(docs: DataFrame, path: str, finish, schema: StructType) -> DataFrame:
             out.append(squeeze(np.fromiter(map(len, found), np.uint32, len(found)), np.concatenate(found)))
         return out
 
-    answers = written(per_bucket(per_block(blocks, words, PAYLOAD_SCHEMA), table), "words")
+    # The answers are read once, by the join below: they go straight to it through the shuffle, without a table.
+    answers = per_bucket(per_block(blocks, words, PAYLOAD_SCHEMA), table)
 
     def joined(b: Block, row: dict) -> Iterator[pa.RecordBatch]:
         texts, by = _distinct(b, path, n_buckets)
