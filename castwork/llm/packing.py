@@ -71,20 +71,21 @@ class WordIds:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        known, stems, other = self.known, set(), []
-        for w in new:
-            stem = w.rstrip(MARKS)
-            if stem.isalpha():
-                stems.add(stem)
-            else:
+        known, stems = self.known, [w.rstrip(MARKS) for w in new]
+        letters, marks, other, marked = {}, {}, [], []
+        for w, stem in zip(new, stems, strict=True):
+            if not stem.isalpha():
                 other.append(w)
-        marks = {w[len(w.rstrip(MARKS)) :] for w in new}
-        for words, encode in ((sorted(stems - known.keys()), self._letters), (sorted(marks - known.keys()), self._single), (other, self._single)):
-            known.update(zip(words, encode(words), strict=True))
-        for w in new:
-            if w not in known:
-                stem = w.rstrip(MARKS)
-                known[w] = known[stem] + known[w[len(stem) :]]
+            else:
+                letters[stem] = None
+                if len(stem) < len(w):
+                    marks[w[len(stem) :]] = None
+                    marked.append((w, stem))
+        for words, encode in ((letters, self._letters), (marks, self._single), (other, self._single)):
+            unmet = [w for w in words if w not in known]
+            known.update(zip(unmet, encode(unmet), strict=True))
+        for w, stem in marked:
+            known[w] = known[stem] + known[w[len(stem) :]]
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         texts = pc.fill_null(texts, "")
@@ -98,14 +99,12 @@ class WordIds:
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         self._learn([w for w in words if w not in self.known])
-        found = list(map(self.known.__getitem__, words))
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = size[index]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        raw = flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
-        cut = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)] * 4
+        # Arrow lays the words' ids end to end in the order of the text; its offsets are where each word ends.
+        laid = pa.array(list(map(self.known.__getitem__, words)), pa.large_binary()).take(coded.indices)
+        _, offsets, data = laid.buffers()
+        raw = data.to_pybytes() if data else b""
+        ends = np.frombuffer(offsets, np.int64, len(laid) + 1) if len(laid) else np.zeros(1, np.int64)
+        cut = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)]
         out = [raw[s:e] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         for i in np.flatnonzero(odd).tolist():
             out[i] = self._single([texts[i].as_py()])[0]
