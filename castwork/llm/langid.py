@@ -168,8 +168,9 @@ def fit(docs: DataFrame, *, folds: int = 4, fold: int = 2) -> Model:
     return Model(langs, scores, script >= 0.01 * np.maximum(1, script.sum(0)), int(np.argmax(n)))
 
 
-def word_scores(model: Model, words: Words) -> np.ndarray:
-    """(words, languages) log ratios to the best candidate; neutral (zero) for words of no learned script."""
+def word_scores(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """((words, languages) log ratios to the best candidate, whether a word has a candidate); the ratios are neutral
+    (zero) for words of no learned script."""
     table = np.concatenate([model.scores, np.zeros((1, len(model.langs)), np.float32)])
     each = table[words.grams[:, 0]]
     for g in words.grams.T[1:]:
@@ -181,7 +182,7 @@ def word_scores(model: Model, words: Words) -> np.ndarray:
     total -= np.where(some[:, None], total.max(1, keepdims=True), 0)
     total = np.maximum(total, -40.0)  # one word, however long or odd, cannot outweigh a sentence
     total[~some] = 0
-    return total.astype(np.float32)
+    return total.astype(np.float32), some
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
@@ -244,8 +245,8 @@ def _label(model: Model, words: pa.Array, index: np.ndarray, sizes: np.ndarray,
     w = distinct_words(words)
     if not model.langs:
         return np.zeros_like(index), w.letters[index], np.zeros(len(index), bool)
-    scores = word_scores(model, w)
-    return viterbi(scores[index], sizes, switch), w.letters[index], ~(scores == 0).all(1)[index]
+    scores, some = word_scores(model, w)
+    return viterbi(scores[index], sizes, switch), w.letters[index], some[index]
 
 
 def identify(docs: DataFrame, model: Model, *, folds: int = 4, fold: int = 2, switch: float = SWITCH) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from castwork.llm import queries
+from castwork.llm import langid, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +36,11 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_a_corpus_of_one_language_passes_language_id_whole(spark):
+    texts = ["the cat sat on the mat", "a dog ran over the hill", "rain fell on the town all day"]
+    docs = spark.createDataFrame([(i, texts[i % 3] + f" {i}", "en") for i in range(40)], "doc_id bigint, text string, lang string")
+    found = langid.identify(docs, langid.fit(docs)).collect()
+    assert {(r.lang_pred, r.score) for r in found} == {("en", 1.0)}
+    assert corpus_pipeline.language_id(spark, docs, SF).count() == 40
