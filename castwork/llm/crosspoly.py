@@ -4,8 +4,8 @@ Vectors are scaled to unit length, turned by fast Hadamard pseudo-rotations (ran
 transform, three times) and hashed to the nearest signed axis, `functions` hashes to a code, in `tables` tables.
 Every vector is indexed once in each table; a query probes the codes nearest to its rotated point in every table;
 candidates are reranked by their exact Euclidean distance in double precision on the original vectors. The number
-of probes is fitted on a bounded sample (at most about SAMPLE vectors, QUERIES of them as queries) to reach TARGET
-recall against brute force there; neighbours in the whole table are nearer than in a sample, so recall only gains.
+of probes is fitted for each length of vectors on a bounded sample of that length (at most about SAMPLE vectors,
+QUERIES of them as queries) to reach TARGET recall against brute force there; neighbours in the whole table are nearer than in a sample, so recall only gains.
 
 Equal vectors are one class, indexed once, with the k + 1 smallest ids (more cannot be among the nearest k besides
 the query). Buckets larger than BUCKET are split, and probes go to all parts, so a crowded bucket is never one
@@ -85,16 +85,21 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(((x.astype(np.float64) - q.astype(np.float64)) ** 2).sum(1))
 
 
+def _axes_count(dim: int) -> int:
+    return 2 * (1 << max(0, (dim - 1).bit_length()))
+
+
 def fit_probes(x: np.ndarray, k: int, tables: int, functions: int) -> int:
     """Least number of probes that reaches TARGET recall among the sample's own vectors."""
     if len(x) < 2:
         return 1
     queries = x[:: max(1, len(x) // QUERIES)][:QUERIES]
-    every = (2 * (1 << max(0, (x.shape[1] - 1).bit_length()))) ** functions
+    every = _axes_count(x.shape[1]) ** functions
     near = np.stack([np.argsort(distances(x, q), kind="stable")[: k + 1] for q in queries])
     rank = np.full(near.shape, every)  # the probe that first finds a neighbour
     for t in range(tables):
-        c, order = codes(x, t, functions), probes(queries, t, functions, every if functions == 1 else 4096)
+        c = np.concatenate([codes(x[i : i + 2048], t, functions) for i in range(0, len(x), 2048)])
+        order = probes(queries, t, functions, every if functions == 1 else 4096)
         for i in range(len(queries)):
             place = {p: r for r, p in enumerate(order[i].tolist())}
             rank[i] = np.minimum(rank[i], [place.get(y, every) for y in c[near[i]].tolist()])
@@ -122,19 +127,24 @@ def nearest(vectors: DataFrame, *, k: int = 10, every: int = 100, id_col: str =
     firsts = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     asked = rows.where(F.col("id") % every == 0).select("v").distinct().withColumn("asked", F.lit(True))
     classes = written(firsts.join(asked, "v", "left").select(F.col("ids")[0].alias("class"), "ids", "v", F.coalesce("asked", F.lit(False)).alias("asked")), "classes")
-    n, n_ids, d = classes.agg(F.count("*"), F.sum(F.size("ids")), F.max(F.size("v"))).first()
-    if not n:
+    by_dim = written(classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("there")), "lengths")
+    functions = {r.dim: max(1, int(np.ceil(np.log(max(2, r.n / BUCKET)) / np.log(_axes_count(r.dim))))) for r in by_dim.collect()}  # a row for each length
+    if not functions:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    axes_count = 2 * (1 << max(0, (d - 1).bit_length()))
-    functions = max(1, int(np.ceil(np.log(max(2, n / BUCKET)) / np.log(axes_count))))
-    sample = classes.where(F.pmod(F.xxhash64("class"), F.lit(-(-n // SAMPLE))) == 0).where(F.size("v") == d).orderBy("class").select("v")
-    count = fit_probes(np.array([r.v for r in sample.collect()], np.float64).reshape(-1, d), k, tables, functions)
+
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        d = key[0].as_py()
+        x = t.sort_by("class").column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
+        return pa.table({"dim": pa.array([d], pa.int32()), "count": pa.array([fit_probes(x, k, tables, functions[d])], pa.int64())})
+
+    sample = classes.withColumn("dim", F.size("v")).join(F.broadcast(by_dim), "dim").where(F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / SAMPLE)) == 0)
+    counts = {r.dim: r["count"] for r in sample.select("dim", "class", "v").groupBy("dim").applyInArrow(fit, "dim int, count bigint").collect()}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for members, x in _by_length(list(zip(*(b.column(n).to_pylist() for n in ("class", "ids")), strict=True)), b.column("v").to_pylist()):
                 for t in range(tables):
-                    c = codes(x, t, functions)
+                    c = codes(x, t, functions[x.shape[1]])
                     for code in np.unique(c).tolist():
                         at = np.flatnonzero(c == code).tolist()
                         yield _entry([(t, x.shape[1], code, [members[i][1] for i in at], x[at].tobytes(), len(at))])
@@ -150,12 +160,13 @@ def nearest(vectors: DataFrame, *, k: int = 10, every: int = 100, id_col: str =
     sizes = written(sizes, "sizes")
     placed = entries.join(sizes.select("t", "dim", "code", "parts"), ["t", "dim", "code"]).withColumn("part", F.pmod(F.xxhash64("data"), F.col("parts")).cast("int")).drop("parts")
 
-    def search(asking: DataFrame, tables: int, count: int | None) -> DataFrame:
+    def search(asking: DataFrame, tables: int, counts: dict[int, int] | None) -> DataFrame:
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for ids, x in _by_length(b.column("class").to_pylist(), b.column("v").to_pylist()):
+                    fs = functions[x.shape[1]]
                     for t in range(tables):
-                        p = probes(x, t, functions, count or (2 * (1 << max(0, (x.shape[1] - 1).bit_length()))) ** functions)
+                        p = probes(x, t, fs, counts.get(x.shape[1], 1) if counts is not None else _axes_count(x.shape[1]) ** fs)
                         order = np.argsort(p.ravel(), kind="stable")
                         code, first = np.unique(p.ravel()[order], return_index=True)
                         rows = [(t, x.shape[1], int(c), [[ids[i // p.shape[1]]] for i in o.tolist()], x[o // p.shape[1]].tobytes(), len(o)) for c, o in zip(code, np.split(order, first[1:]), strict=True)]
@@ -191,10 +202,9 @@ def nearest(vectors: DataFrame, *, k: int = 10, every: int = 100, id_col: str =
         return best.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).drop("n")
 
     asking = classes.where("asked").select("class", "v")
-    found = written(search(asking, tables, count), "found")
-    by_dim = classes.groupBy(F.size("v").alias("dim")).agg(F.sum(F.size("ids")).alias("there"))
+    found = written(search(asking, tables, counts), "found")
     got = found.groupBy("class").agg(F.count("*").alias("got"))
-    short = asking.join(got, "class", "left").join(by_dim, F.size("v") == F.col("dim")).where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k + 1), "there")).select("class", "v")
+    short = asking.join(got, "class", "left").join(by_dim.select("dim", "there"), F.size("v") == F.col("dim")).where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k + 1), "there")).select("class", "v")
     short = written(short, "short")
     if short.limit(1).count():
         found = found.join(short.select("class"), "class", "left_anti").unionByName(search(short, 1, None))

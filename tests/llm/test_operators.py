@@ -268,6 +268,21 @@ def test_cross_polytope(spark):
     assert crosspoly.nearest(frame.limit(0)).count() == 0
 
 
+def test_cross_polytope_is_fitted_for_each_length(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(1500, 32)), rng.normal(size=(600, 20))
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i, v.tolist()) for i, v in enumerate(y)] + [(20_001, rng.normal(size=64).tolist())]
+    got = collections.defaultdict(set)
+    for r in crosspoly.nearest(spark.createDataFrame(data, "vec_id bigint, embedding array<double>")).collect():
+        got[r.query_id].add(r.vec_id)
+    for z, first in ((x, 0), (y, 10_000)):
+        hits = 0
+        for q in range(0, len(z), 100):
+            d = ((z - z[q]) ** 2).sum(1)
+            hits += len({first + i for i in np.argsort(d)[1:11].tolist()} & got[first + q])
+        assert hits >= 0.9 * 10 * len(range(0, len(z), 100))
+
+
 def test_langid(spark, rows, docs, empty):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(big)
