@@ -5,7 +5,9 @@ kind. The field then labels tokens that hold a digit or an @ as O or one of the
 from the whole corpus: token potentials from the base labels by shape (smoothed log frequencies), chain potentials
 between neighbouring tokens, and skip potentials between tokens of one document that repeat or resemble each other
 (the same core, or one core ending in the other's last digits). Tokens inside base spans are observed. Loopy
-sum-product passes run over the joint graph of many documents at once until the beliefs settle; a token whose most
+sum-product passes run over the joint graph of many documents at once. A pass moves evidence by one link, so documents
+that have not settled after ROUNDS of them go on by sweeps over their tokens in order and back, each of which carries
+evidence through the whole document, until they settle (one whose messages circle for SWEEPS sweeps ends there). A token whose most
 probable label is a kind adds a span (its core, without surrounding punctuation) where it meets no base span.
 Skip links go to the next token of the same core, so a token repeated without end costs one link each time.
 
@@ -48,6 +50,7 @@ JOINED = {3: 19, 4: 15}
 UNMET_NONE = 0.8  # a shape that was never met is O unless its links say otherwise
 CORE_LEAST = 6  # shorter cores are too common to link
 ROUNDS = 30
+SWEEPS, UNDAMPED = 200, 100
 SETTLED = 1e-3
 
 
@@ -213,7 +216,8 @@ def fit(docs: DataFrame) -> Model:
 
 def propagate(node: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]], doc: np.ndarray | None = None) -> np.ndarray:
     """Beliefs (tokens, K) by damped loopy sum-product; `links` are (pairs, log potentials), `doc` the document of each
-    token. A document's messages rest once its own have settled, so what else is in the batch changes nothing."""
+    token. A document's messages rest once its own have settled, so what else is in the batch changes nothing. Documents
+    that move for longer than ROUNDS are settled by sweeps."""
     pairs = [(p, w) for p, w in links if len(p)]
     if not pairs:
         return node
@@ -237,10 +241,51 @@ def propagate(node: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]], doc:
         np.add.at(beliefs, dst, msg)
         live &= moved >= SETTLED
         if not live.any():
-            break
+            return beliefs
+    _sweep(beliefs, msg, src, dst, back, weight, of, live)
     return beliefs
 
 
+def _sweep(beliefs: np.ndarray, msg: np.ndarray, src: np.ndarray, dst: np.ndarray, back: np.ndarray, weight: np.ndarray, of: np.ndarray, live: np.ndarray) -> None:
+    """Settle the live documents in place: messages to later tokens in their order, then those to earlier ones in
+    reverse, each from the newest beliefs. A level holds tokens that wait for none of each other, of all documents."""
+    level = np.zeros(len(beliefs), np.int64)
+    ahead = np.flatnonzero(live[of] & (src < dst))
+    at = level.tolist()
+    for i, j in sorted(zip(dst[ahead].tolist(), src[ahead].tolist(), strict=True)):
+        at[i] = max(at[i], at[j] + 1)
+    level[:] = at
+
+    def steps() -> list[np.ndarray]:
+        out = []
+        for e, key in ((np.flatnonzero(live[of] & (src < dst)), dst), (np.flatnonzero(live[of] & (src > dst)), src)):
+            order = e[np.argsort(level[key[e]], kind="stable")]
+            parts = np.split(order, np.flatnonzero(np.diff(level[key[order]])) + 1)
+            out += parts if key is dst else parts[::-1]
+        return out
+
+    todo = steps()
+    for n in range(SWEEPS):
+        moved = np.zeros(len(live))
+        for e in todo:
+            out = beliefs[src[e]] - msg[back[e]]
+            out = np.exp(out - out.max(1, keepdims=True))
+            new = np.log(np.einsum("ek,ekl->el", out, weight[e]))
+            new -= new.max(1, keepdims=True)
+            change = new - msg[e]
+            np.maximum.at(moved, of[e], np.abs(change).max(1))
+            if n >= UNDAMPED:
+                change *= 0.5
+            msg[e] += change
+            np.add.at(beliefs, dst[e], change)
+        rest = live & (moved < SETTLED)
+        if rest.any():
+            live = live & ~rest
+            if not live.any():
+                return
+            todo = steps()
+
+
 def label(docs: list[Tokens], texts: list[str], model: Model) -> list[list[int]]:
     """Most probable label of every token; base tokens keep theirs."""
     n = sum(len(t.core) for t in docs)

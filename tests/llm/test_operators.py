@@ -188,6 +188,29 @@ def test_message_passing_is_exact_on_a_tree():
         assert np.allclose(b[i], m / m.sum(), atol=2e-3)
 
 
+def test_evidence_reaches_the_end_of_a_long_document():
+    n, links = 200, np.diag([1e5, 500.0, 500, 500, 500]) + 0.5  # as learned where a kind is seldom linked
+    links += 10 * np.eye(pii_crf.K)
+    p = links / links.sum()
+    w = np.clip(np.log(p / np.outer(p.sum(1), p.sum(1))), -6, 6)
+    node = np.zeros((n, pii_crf.K)) + np.log([0.8, 0.05, 0.05, 0.05, 0.05])
+    node[0] = [-30, -30, -30, -30, 0]
+    pairs = np.stack([np.arange(n - 1), np.arange(1, n)], 1)
+    fore, after = np.zeros_like(node), np.zeros_like(node)
+    for i in range(1, n):
+        a, b = node[i - 1] + fore[i - 1], node[n - i] + after[n - i]
+        fore[i] = np.log(np.exp(a - a.max()) @ np.exp(w))
+        after[n - i - 1] = np.log(np.exp(w) @ np.exp(b - b.max()))
+    want = node + fore + after
+    both = np.concatenate([node, node[:7]])  # and a short document that settles sooner
+    got = pii_crf.propagate(both, [(np.concatenate([pairs, pairs[:6] + n]), w)], np.repeat([0, 1], [n, 7]))
+    assert (got[:n].argmax(1) == want.argmax(1)).all() and (want.argmax(1) == 4).sum() > 100
+    alone = pii_crf.propagate(node[:7], [(pairs[:6], w)])
+    assert np.array_equal(got[n:], alone)
+    unit = lambda x: np.exp(x - x.max(1, keepdims=True)) / np.exp(x - x.max(1, keepdims=True)).sum(1, keepdims=True)
+    assert np.allclose(unit(got[:n]), unit(want), atol=2e-2)
+
+
 def _winnow(s, k=winnow.K, w=winnow.WINDOW):
     if not s:
         return []
