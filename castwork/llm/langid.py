@@ -1,8 +1,9 @@
 """Language identification of mixed text: script ranges, per-word scores, Viterbi with a switching penalty.
 
 Training sums, for each language, the hashed letter n-grams (2 and 3, with word bounds) and the scripts of the
-letters of all training documents; sums are merged in Spark in two levels of packed rows. A word's candidates are
-the languages that use its script; its score for each is the sum of smoothed log frequencies of its n-grams, less
+letters of all training documents; sums are merged in Spark in two levels of packed rows. Words are cut where the
+script of their letters changes, and runs of scripts written without spaces into pieces of RUN letters; "word" below
+is such a piece. A word's candidates are the languages that use its script; its score for each is the sum of smoothed log frequencies of its n-grams, less
 the best candidate's (so that scores are log ratios). Viterbi over the words of a document, where changing the
 language costs `switch`, labels spans. A document's language is the one whose spans hold most letters (the first
 in sorted order of equals), its score their share of the letters.
@@ -55,6 +56,9 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
 }
 OTHER_SCRIPT = len(SCRIPTS)
+#: Letters of a piece where a script has no spaces between words (Lao, Khmer and others are among the other scripts).
+RUN = 8
+_UNSPACED = np.array([s in ("thai", "kana", "han") for s in SCRIPTS] + [True])
 _RANGES = sorted((a, b, i) for i, rs in enumerate(SCRIPTS.values()) for a, b in rs)
 _FIRST, _LAST, _SCRIPT = (np.array(x, np.int64) for x in zip(*_RANGES, strict=True))
 
@@ -75,7 +79,51 @@ class Words(NamedTuple):
     grams: np.ndarray  # (positions, len(GRAMS)) hashed n-grams; FEATURES where there is none
     first: np.ndarray  # first position of each word
     letters: np.ndarray  # letters of each word
-    script: np.ndarray  # script of each word's first letter
+    script: np.ndarray  # script of each word's letters
+
+
+def _is_letter(c: np.ndarray) -> np.ndarray:
+    return _LETTER[np.minimum(c, 0xFFFF)] | ((c >= 0x10000) & ((c < 0x1D800) | (c >= 0x20000)) & (c < 0xE0000))
+
+
+def _script_of(c: np.ndarray) -> np.ndarray:
+    c = c.astype(np.int64)
+    k = np.maximum(np.searchsorted(_FIRST, c, "right") - 1, 0)
+    return np.where((c >= _FIRST[k]) & (c <= _LAST[k]), _SCRIPT[k], OTHER_SCRIPT)
+
+
+def piece_starts(c: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Positions where pieces start: the words' own (`first`) and their cuts; code points of words on end."""
+    at = np.flatnonzero(_is_letter(c))
+    if not len(at):
+        return first
+    script, word = _script_of(c[at]), np.searchsorted(first, at, "right")
+    begins = np.concatenate([[True], word[1:] != word[:-1]])  # the first letter of a word
+    run = begins | np.concatenate([[True], script[1:] != script[:-1]])
+    place = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+    cut = (run | (_UNSPACED[script] & (place % RUN == 0))) & ~begins
+    return np.sort(np.concatenate([first, at[cut]]))
+
+
+def _cut(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pieces of the words in order, pieces of each word)."""
+    count = np.ones(len(words), np.int64)
+    odd = np.flatnonzero(pc.not_equal(pc.utf8_length(words), pc.binary_length(words)).to_numpy(zero_copy_only=False))  # ASCII has one script
+    if not len(odd):
+        return words, count
+    texts = words.take(pa.array(odd)).to_pylist()
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    first, joined = np.cumsum(sizes) - sizes, "".join(texts)
+    starts = piece_starts(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), first)
+    if len(starts) == len(odd):
+        return words, count
+    parts = pa.array([joined[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(joined)], strict=True)], pa.string())
+    count[odd] = np.diff(np.searchsorted(starts, first), append=len(starts))
+    begin = np.cumsum(count) - count
+    take = np.repeat(np.arange(len(words)), count)
+    own = np.arange(len(words), len(words) + len(parts))  # the parts' places after the whole words
+    take[np.arange(count[odd].sum()) + np.repeat(begin[odd] - np.cumsum(count[odd]) + count[odd], count[odd])] = own
+    return pa.concat_arrays([words.cast(pa.string()), parts]).take(pa.array(take)), count
 
 
 def distinct_words(words: pa.Array) -> Words:
@@ -83,7 +131,7 @@ def distinct_words(words: pa.Array) -> Words:
     first = np.cumsum(sizes + 1) - sizes - 1 + 1
     joined = "\0" + "\0".join(words.to_pylist()) + "\0"
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _LETTER[np.minimum(c, 0xFFFF)] | ((c >= 0x10000) & ((c < 0x1D800) | (c >= 0x20000)) & (c < 0xE0000))
+    letter = _is_letter(c)
     c = np.where(letter, c, 0).astype(np.uint64)
     m = len(c) - 1
     grams = np.full((m, len(GRAMS)), FEATURES, np.int32)
@@ -101,9 +149,7 @@ def distinct_words(words: pa.Array) -> Words:
     at = np.flatnonzero(letter)
     count = np.searchsorted(at, first + sizes) - np.searchsorted(at, first)
     lead = c[at[np.minimum(np.searchsorted(at, first), max(0, len(at) - 1))]].astype(np.int64) if len(at) else np.zeros(len(sizes), np.int64)
-    k = np.maximum(np.searchsorted(_FIRST, lead, "right") - 1, 0)
-    script = np.where((lead >= _FIRST[k]) & (lead <= _LAST[k]), _SCRIPT[k], OTHER_SCRIPT)
-    return Words(grams, first - 1, count, script)  # a word owns the bound before it
+    return Words(grams, first - 1, count, _script_of(lead))  # a word owns the bound before it
 
 
 def is_held_out(doc_id, folds: int, fold: int) -> bool:
@@ -111,10 +157,19 @@ def is_held_out(doc_id, folds: int, fold: int) -> bool:
 
 
 def _distinct(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct lower-cased words, index of each word in order, words of each document)."""
+    """(distinct lower-cased words, cut by script; index of each word in order, words of each document)."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
     enc = pc.list_flatten(lists).dictionary_encode()
-    return enc.dictionary, enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    index = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    pieces, count = _cut(enc.dictionary)
+    if len(pieces) == len(enc.dictionary):
+        return enc.dictionary, index, sizes
+    begin, n = np.cumsum(count) - count, count[index]
+    enc = pieces.dictionary_encode()
+    code = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    index = code[np.arange(int(n.sum())) + np.repeat(begin[index] - np.cumsum(n) + n, n)]
+    return enc.dictionary, index, np.bincount(np.repeat(np.arange(len(sizes)), sizes), n, len(sizes)).astype(np.int64)
 
 
 def fit(docs: DataFrame, *, folds: int = 4, fold: int = 2) -> Model:
@@ -279,13 +334,20 @@ def identify(docs: DataFrame, model: Model, *, folds: int = 4, fold: int = 2, sw
 
 def spans(text: str, model: Model, switch: float = SWITCH) -> list[tuple[str, int, int]]:
     """(language, start, end) of the labelled spans of one text, in code points."""
-    found = list(re.finditer(r"\S+", text))
-    enc = pa.array([m.group().lower() for m in found], pa.string()).dictionary_encode()
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    lower = "".join(x if len(x := c.lower()) == 1 else c for c in text)  # as long as the text
+    c = np.frombuffer("".join(lower[a:b] for a, b in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    place = np.concatenate([np.empty(0, np.int64), *(np.arange(a, b) for a, b in words)])
+    size = np.array([b - a for a, b in words], np.int64)
+    starts = piece_starts(c, np.cumsum(size) - size)
+    ends = np.append(starts[1:], len(c)) - 1
+    found = list(zip(place[starts].tolist(), (place[ends] + 1).tolist(), strict=True)) if words else []
+    enc = pa.array([text[a:b].lower() for a, b in found], pa.string()).dictionary_encode()
     labels, _, _ = _label(model, enc.dictionary, enc.indices.to_numpy().astype(np.int64), np.array([len(found)]), switch)
     out: list[tuple[str, int, int]] = []
-    for m, x in zip(found, labels.tolist(), strict=True):
+    for (a, b), x in zip(found, labels.tolist(), strict=True):
         if out and out[-1][0] == model.langs[x]:
-            out[-1] = (out[-1][0], out[-1][1], m.end())
+            out[-1] = (out[-1][0], out[-1][1], b)
         else:
-            out.append((model.langs[x], m.start(), m.end()))
+            out.append((model.langs[x], a, b))
     return out

@@ -323,6 +323,22 @@ def test_langid(spark, rows, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_langid_looks_at_every_letter(spark):
+    rng = np.random.default_rng(12)
+    zh, ja, kana = "的一是了我不人在他有这个上们来到时大地为", "日本語学生先東京都会社新聞電車駅", "のにはをたがでてとしれさ"
+    text = {"zh": lambda n: "".join(rng.choice(list(zh), n)), "ja": lambda n: "".join(rng.choice(list(ja + 2 * kana), n)),
+            "en": lambda n: " ".join(rng.choice(["the", "of", "and", "house", "water"], n)), "ru": lambda n: " ".join(rng.choice(["вода", "дом", "это", "который"], n))}
+    docs = spark.createDataFrame([(i, text[g](100), g) for i, g in enumerate(list(text) * 20)], "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    odd = {0: "A" + text["zh"](20_000), 1: "x" + text["ja"](500), 2: text["ru"](1) + "water" * 3, 3: text["zh"](300) + text["ja"](200), 4: text["en"](30), 5: text["zh"](50) + "。12"}
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(odd.items()), "doc_id bigint, text string"), model).collect()}
+    assert [got[i].lang_pred for i in range(6)] == ["zh", "ja", "en", "zh", "en", "zh"]
+    assert got[0].score > 0.999 and got[4].score == got[5].score == 1 and 0.5 < got[3].score < 0.7
+    spans = langid.spans(odd[3], model)
+    assert [s for s, _, _ in spans] == ["zh", "ja"] and (spans[0][1], spans[-1][2]) == (0, 500) and abs(spans[1][1] - 300) <= langid.RUN
+    assert langid.spans(" \n", model) == []
+
+
 def test_viterbi_is_the_plain_recursion():
     rng = np.random.default_rng(0)
     for _ in range(10):
