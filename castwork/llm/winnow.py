@@ -23,7 +23,8 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 from .common import Rolling, bucket_count, ship, text_bytes
 
-K, WINDOW = 32, 64
+#: Passages of K + WINDOW - 1 = 27 code points or more are sure to be met.
+K, WINDOW = 12, 16
 AT_ONCE = 1 << 18
 
 

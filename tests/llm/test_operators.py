@@ -264,6 +264,19 @@ def test_winnowing_guarantee():
         winnow.AT_ONCE = had
 
 
+def test_winnowing_meets_short_passages():
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9)))
+    near = {32: [], 100: []}
+    for n in [*range(32, 100), *range(100, 200)]:
+        text, other = (" ".join(word() for _ in range(n))[:n] for _ in range(2))
+        a, b = (np.unique(winnow.select(t)[0]) for t in (text, winnow.edited(text, other)))
+        near[32 if n < 100 else 100].append(winnow.likeness(a, b))
+    assert np.mean(near[32]) > 0.4 and min(near[100]) >= 0.3 and abs(np.mean(near[100]) - 0.6) < 0.1
+    common = text[:27]
+    assert set(winnow.select(other[:20] + common + other[20:])[0].tolist()) & set(winnow.select(common + other)[0].tolist())
+
+
 def test_cross_polytope(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 32)) * rng.uniform(0.9, 1.1, (1500, 1))
