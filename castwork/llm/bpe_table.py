@@ -2,7 +2,8 @@
 
 Texts are split into pre-tokens ("words") inside Spark's tasks. Each block sends its distinct words, in buckets by
 hash, to the word table, which encodes every distinct word of the corpus once and answers with ids; a block joins
-the ids back by position. Decoding joins ids to pieces (the vocabulary, whose size is fixed by the tokenizer file).
+the ids back by position. Decoding looks ids up in the worker's copy of the vocabulary, whose size is fixed by the
+tokenizer file.
 
 A null text is encoded as the empty text (no ids). Special tokens met in a text
 are encoded as the library does (one id each). Texts with letters outside the Latin blocks are split by the
@@ -182,7 +183,7 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decoded(encoded: DataFrame, path: str) -> DataFrame:
-    """`encoded` with its ids column replaced by text: ids joined to the vocabulary's pieces."""
+    """`encoded` with its ids column replaced by text: ids looked up in the worker's copy of the vocabulary."""
     schema = StructType([f for f in encoded.schema if f.name != "ids"]).add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
