@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, bpe_table, crosspoly, langid, packing, pii_crf, simhash, suffix_dedup, warc, winnow
+from . import bloom_lm, bpe_table, crosspoly, langid, packing, pii_crf, prefix_trie, simhash, suffix_dedup, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,12 @@ def op10_bpe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_table.token_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii_crf, op3_winnowing, op4_cross_polytope, op5_langid, op6_packing, op7_warc, op8_suffix_dedup, op9_bloom_lm, op10_bpe_table)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = prefix_trie.turn_lists(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_nodes(prefix_trie.rebuilt(lists, family=5, modulus=9)).drop("path")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii_crf, op3_winnowing, op4_cross_polytope, op5_langid, op6_packing, op7_warc, op8_suffix_dedup, op9_bloom_lm, op10_bpe_table, op11_prefix_trie)}
 
 ORACLES = {
     "op7_warc": """
@@ -72,4 +77,5 @@ ORACLES = {
                CASE WHEN f.first_id IS NOT NULL AND p.page_id IS DISTINCT FROM f.first_id THEN f.first_id END AS refers_to
         FROM p LEFT JOIN f ON p.html = f.html
     """,
+    "op11_prefix_trie": prefix_trie.SQL,
 }
