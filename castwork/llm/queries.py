@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, bpe_table, crosspoly, langid, packing, pii_crf, prefix_trie, simhash, suffix_dedup, warc, winnow
+from . import bloom_lm, bpe_table, crosspoly, divergence, langid, mixing, packing, pii_crf, prefix_trie, simhash, suffix_dedup, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(prefix_trie.rebuilt(lists, family=5, modulus=9)).drop("path")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii_crf, op3_winnowing, op4_cross_polytope, op5_langid, op6_packing, op7_warc, op8_suffix_dedup, op9_bloom_lm, op10_bpe_table, op11_prefix_trie)}
+def op12_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
+
+
+def op13_rle_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), least_docs=10, most=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii_crf, op3_winnowing, op4_cross_polytope, op5_langid, op6_packing, op7_warc, op8_suffix_dedup, op9_bloom_lm, op10_bpe_table, op11_prefix_trie, op12_sainte_lague, op13_rle_divergence)}
 
 ORACLES = {
     "op7_warc": """
@@ -78,4 +86,6 @@ ORACLES = {
         FROM p LEFT JOIN f ON p.html = f.html
     """,
     "op11_prefix_trie": prefix_trie.SQL,
+    "op12_sainte_lague": mixing.SQL,
+    "op13_rle_divergence": divergence.SQL,
 }
