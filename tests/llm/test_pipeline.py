@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
