@@ -106,9 +106,10 @@ def run_lengths(terms: DataFrame) -> DataFrame:
     A null source has the length of the whole block; a source that a block lacks is one run of zeros there."""
     spark = terms.sparkSession
     ship(spark)
-    equal = terms.groupBy("lang", "row").agg(F.count(F.lit(1)).alias("weight"))
+    equal = terms.groupBy("lang", "total", "row").agg(F.count(F.lit(1)).alias("weight"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = equal.repartitionByRange(n, "lang", "row").sortWithinPartitions("lang", "row")
+    # Ranges are cut by short keys (what Spark samples for them goes to the driver); rows order what lies in a range.
+    ordered = equal.repartitionByRange(n, "lang", "total", F.xxhash64("row")).sortWithinPartitions("lang", "total", "row").drop("total")
     longs = pa.list_(pa.int64())
     names = ["lang", "block", "source", "lengths", "counts"]
 
