@@ -47,14 +47,15 @@ def _tokenizer(path: str):
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> dict[int, bytes]:
-    """id -> bytes, undoing the printable alphabet of byte-level vocabularies (a rule: printable bytes stand for
+def _pieces(path: str) -> pa.Array:
+    """The bytes of every id at its place (ids that the vocabulary lacks: null), undoing the printable alphabet of byte-level vocabularies (a rule: printable bytes stand for
     themselves, the others follow from 256 on)."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in plain]
     back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
     t, special, _ = _tokenizer(path)
-    return {i: w.encode() if w in special else bytes(back[c] for c in w) for w, i in t.get_vocab(with_added_tokens=True).items()}
+    piece = {i: w.encode() if w in special else bytes(back[c] for c in w) for w, i in t.get_vocab(with_added_tokens=True).items()}
+    return pa.array([piece.get(i) for i in range(max(piece, default=-1) + 1)], pa.large_binary())
 
 
 def split(text: str, path: str) -> list[str]:
@@ -150,8 +151,11 @@ def _chunks(items: list, n: int) -> Iterator[list]:
 
 def decode(ids: bytes, path: str) -> str:
     """Ids (unsigned 32-bit bytes) to text; bytes that are not UTF-8 become replacement characters."""
-    piece = _pieces(path)
-    return b"".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")
+    laid = _pieces(path).take(pa.array(np.frombuffer(ids, "<u4")))  # Arrow lays the pieces end to end
+    if laid.null_count:
+        raise KeyError("an id that the vocabulary lacks")
+    data = laid.buffers()[2]
+    return data.to_pybytes().decode(errors="replace") if data else ""
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
