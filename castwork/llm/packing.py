@@ -74,7 +74,8 @@ class WordIds:
         known, stems = self.known, [w.rstrip(MARKS) for w in new]
         letters, marks, other, marked = {}, {}, [], []
         for w, stem in zip(new, stems, strict=True):
-            if not stem.isalpha():
+            # A letter whose normal form ends in a mark (as that of İ does) would join the marks behind it.
+            if not (stem.isascii() and stem.isalpha() or (w == stem and stem.isalpha())):
                 other.append(w)
             else:
                 letters[stem] = None
