@@ -198,10 +198,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, max_distance: int = 3, s
 
 def deduplicate(docs: DataFrame, *, words: int = 3, max_distance: int = 3, seed: int = 42) -> DataFrame:
     """The rows of `docs` that stay, all columns: of each component the row with the smallest (non-null first)
-    doc_id, ties by a hash of the text; of wholly equal rows one stays."""
-    rows, roots = _grouped(docs, words, max_distance, seed, ("doc_id",))
-    first = _least(rows, roots, F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).select(
-        F.col("value.doc_id").alias("_id"), F.col("value.th").alias("_th"))
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_semi")
-    repeated = rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    doc_id, ties by a hash of the text, then by one of all columns; of wholly equal rows one stays."""
+    every = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]  # a hash alone skips nulls
+    row = F.xxhash64(*every)
+    rows, roots = _grouped(docs.withColumn("_row", row), words, max_distance, seed, ("doc_id", "_row"))
+    first = _least(rows, roots, F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "_row")).select(
+        F.col("value.doc_id").alias("_id"), F.col("value.th").alias("_th"), F.col("value._row").alias("_is"))
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")) & (row == F.col("_is")), "left_semi")
+    repeated = rows.groupBy("doc_id", "th", "_row").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates() if repeated else kept
