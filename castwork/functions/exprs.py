@@ -126,8 +126,11 @@ def weekdays_inclusive(start: Column, end: Column) -> Column:
 
 
 def quote_literal(x: Column) -> Column:
-    """SQL quote_literal: wrap in single quotes, doubling embedded ones."""
-    return F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'"))
+    """SQL quote_literal: wrap in single quotes, doubling embedded ones. With
+    a backslash in the text it is an escape string: backslashes doubled, and
+    an E before the opening quote."""
+    doubled = F.replace(F.replace(x, F.lit("'"), F.lit("''")), F.lit("\\"), F.lit("\\\\"))
+    return F.concat(F.when(F.contains(x, F.lit("\\")), F.lit("E'")).otherwise(F.lit("'")), doubled, F.lit("'"))
 
 
 def labor_rate(dept: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from castwork.functions.exprs import normalize_ref, quote_literal, round_half_up, small
+from castwork.operators import segments
 from castwork.operators.joins import day_span, path_prefixes, prefix_join, range_join
 from castwork.sources.tables import Tables
 
@@ -19,6 +20,7 @@ PAIR_PATTERN_PART = "melt.pattern_code -> erp.part"
 PAIR_BOARD_JOB = "board.board_item -> erp.job_head"
 PAIR_TAG_WC = "historian.tag_path -> erp.work_center"
 PAIR_JOB_HEAT = "erp.job_head -> melt.heat"
+RATED_PAIRS = 4  # pairs with a match rate: all but pattern -> part
 REASON_NO_PATTERN = "part has no pattern mapping in part_pattern"
 REASON_NO_PART = "pattern poured in the melt system has no ERP part mapping"
 REASON_BLANK = "Job # column is blank"
@@ -62,6 +64,15 @@ def _pattern_windows(t: Tables) -> DataFrame:
     return t.job_head.select("job_num", "part_num").join(mapped, "part_num").join(job_window(t), "job_num")
 
 
+def job_heat_sizes(t: Tables) -> DataFrame:
+    """How many rows of B04 each (job, part, pattern) has, without building them: the pours of a pattern are rolled
+    up into time segments, and a job's window meets the few that cover it. Only windows with pours are returned."""
+    pours = t.pour_record.select("pattern_code", "heat_num", "poured_at").distinct()
+    rollup = segments.rolled_up(pours, "poured_at", ["pattern_code"], "heat_num")
+    met = segments.within(_pattern_windows(t), rollup.select("pattern_code", "unit", "segment", "instant", "n"), "pattern_code", "started_at", "ended_at")
+    return met.groupBy("job_num", "part_num", "pattern_code").agg(F.sum("n").alias("pours"))
+
+
 def _jobs_with_heat(t: Tables) -> DataFrame:
     """Jobs that have some row in B04: a semi join, which stops at the first pour
     met and never builds the (job, heat) pairs."""

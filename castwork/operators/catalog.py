@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from castwork.operators import bridges
 from castwork.operators.joins import prefix_join
+from castwork.operators.pages import PageIndex
 from castwork.sources.tables import SYSTEM_OF, TABLE_NAMES, Tables
 
 MAX_LIMIT = 100
+# Rows up to which a page is a top-k (every task keeps that many); deeper pages go through a rank index.
+TOP_ROWS = 10_000
 DEFAULT_LIMIT = 50
 
 VIEWS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -36,10 +39,13 @@ def _samples_resolved(t: Tables) -> DataFrame:
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
-# Views with one row per job, and the samples counted per tag.
+# Views with one row per job, samples counted per tag, pours per time segment.
 COUNTS: dict[str, Callable[[Tables], DataFrame]] = {
     "job_window": lambda t: t.job_head.agg(F.count(F.lit(1)).alias("rows")),
     "wc_tag_resolved": _samples_resolved,
+    "job_heat": lambda t: bridges.job_heat_sizes(t).agg(F.coalesce(F.sum("pours"), F.lit(0)).alias("rows")),
+    # A row a bridge, by construction.
+    "match_rate": lambda t: t.part.sparkSession.range(1).select(F.lit(bridges.RATED_PAIRS).alias("rows")),
 }
 
 # Unique ordering key per relation, so a page is the same page every time.
@@ -82,7 +88,8 @@ def columns(t: Tables, relation: str) -> list[tuple[str, str]]:
 def page(t: Tables, relation: str, *, limit: int = DEFAULT_LIMIT, offset: int = 0,
          order_by: list[str] | None = None) -> DataFrame:
     """One page of an allowlisted relation, limit clamped to 1..100,
-    offset >= 0, in a stable key order (the reference had none)."""
+    offset >= 0, in a stable key order (the reference had none). A page
+    beyond ``TOP_ROWS`` reads only its own range of the relation's rank index."""
     rels = relations(t)
     if relation not in rels:
         raise KeyError(f'Unknown relation "{relation}".')
@@ -90,7 +97,18 @@ def page(t: Tables, relation: str, *, limit: int = DEFAULT_LIMIT, offset: int =
     offset = max(int(offset or 0), 0)
     df = rels[relation][2]
     keys = order_by or PAGE_KEYS.get(relation) or df.columns
-    return df.orderBy(*keys).offset(offset).limit(limit)
+    if offset + limit <= TOP_ROWS:
+        return df.orderBy(*keys).offset(offset).limit(limit)
+    return page_index(t, relation, keys).page(offset, limit)
+
+
+def page_index(t: Tables, relation: str, keys: list[str]) -> PageIndex:
+    """The rank index of a relation, built at the first deep page and kept with the model."""
+    built = t.__dict__.setdefault("_page_indexes", {})
+    key = (relation, tuple(keys))
+    if key not in built:
+        built[key] = PageIndex(relations(t)[relation][2], keys)
+    return built[key]
 
 
 def page_after(t: Tables, relation: str, after: tuple, *, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -110,4 +128,4 @@ def page_after(t: Tables, relation: str, after: tuple, *, limit: int = DEFAULT_L
     return df.where(cond).orderBy(*keys).limit(min(max(limit, 1), MAX_LIMIT))
 
 
-__all__ = ["catalog", "columns", "page", "page_after", "relations", "TABLE_NAMES"]
+__all__ = ["catalog", "columns", "page", "page_after", "page_index", "relations", "TABLE_NAMES"]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from castwork.functions.exprs import (
     days_between, hours_between, lit_date, midnight_minus_days, round_half_up, round_mean, small,
 )
-from castwork.operators import bridges
+from castwork.operators import bridges, segments
 from castwork.operators.joins import day_span, path_prefixes
 from castwork.sources.tables import Tables
 
@@ -80,11 +80,10 @@ def machine_signal(t: Tables, *, signal_role: str | None = None, good_only: bool
     window: count, mean, min, max (2 dp). Quality is not filtered unless
     ``good_only`` (192 = good).
 
-    Pre-aggregated at scale: samples are summed per (prefix, tag, day) once;
-    days strictly inside a window join those daily partials (one row per tag
-    and day instead of every sample), and only the window's first and last
-    day join raw samples with the exact time residual. Partials are then
-    combined per job and tag.
+    Samples are rolled up once into nested time segments (``segments``); a
+    window meets the few segments that cover it, its first and last day
+    included, so no join sees raw samples. Operations of a job on one centre
+    share a window and are counted by weight.
     """
     jt = _job_tags(t)
     if signal_role is not None:
@@ -92,26 +91,14 @@ def machine_signal(t: Tables, *, signal_role: str | None = None, good_only: bool
     th = t.tag_history
     if good_only:
         th = th.where(F.col("quality") == 192)
-    s = _bridged(th.select("tag_path", "ts", "value_float"), t).withColumn("_day", F.col("ts").cast("date"))
+    samples = _bridged(th.select("tag_path", "ts", "value_float"), t)
+    rollup = segments.rolled_up(samples, "ts", ["tag_prefix", "tag_path"], "value_float")
+    windows = jt.groupBy("job_num", "wc_code", "signal_role", "tag_prefix", "started_at", "ended_at").agg(F.count(F.lit(1)).alias("times"))
+    met = segments.within(windows, rollup, "tag_prefix", "started_at", "ended_at")
     keys = ["job_num", "wc_code", "signal_role", "tag_path"]
-    d0, d1 = F.col("started_at").cast("date"), F.col("ended_at").cast("date")
-    # Interior days: fully covered, joined to per-day partials.
-    inner = jt.where(F.date_add(d0, 1) <= F.date_sub(d1, 1)).withColumn(
-        "_day", F.explode(F.sequence(F.date_add(d0, 1), F.date_sub(d1, 1))))
-    daily = s.groupBy("tag_prefix", "tag_path", "_day").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value_float").alias("sv"), F.count("value_float").alias("nv"),
-        F.min("value_float").alias("mn"), F.max("value_float").alias("mx"))
-    p_inner = inner.join(daily, ["tag_prefix", "_day"]).select(*keys, "n", "sv", "nv", "mn", "mx")
-    # Boundary days: raw samples with the exact range.
-    edge = jt.where(d1 >= d0).withColumn("_day", F.explode(F.array_distinct(F.array(d0, d1))))
-    p_edge = (edge.join(s, ["tag_prefix", "_day"])
-              .where((F.col("ts") >= F.col("started_at")) & (F.col("ts") <= F.col("ended_at")))
-              .select(*keys, F.lit(1).cast("bigint").alias("n"), F.col("value_float").alias("sv"),
-                      F.col("value_float").isNotNull().cast("bigint").alias("nv"),
-                      F.col("value_float").alias("mn"), F.col("value_float").alias("mx")))
-    g = p_inner.unionByName(p_edge).groupBy(*keys).agg(
-        F.sum("n").alias("samples"), F.sum("sv").alias("sv"), F.sum("nv").alias("nv"),
-        F.min("mn").alias("mn"), F.max("mx").alias("mx"))
+    g = met.groupBy(*keys).agg(
+        F.sum(F.col("n") * F.col("times")).alias("samples"), F.sum(F.col("total") * F.col("times")).alias("sv"),
+        F.sum(F.col("n_values") * F.col("times")).alias("nv"), F.min("least").alias("mn"), F.max("most").alias("mx"))
     return g.select(*keys, "samples",
                     round_mean(F.when(F.col("nv") > 0, F.col("sv") / F.col("nv")), 2).alias("avg_value"),
                     round_half_up(F.col("mn"), 2).alias("min_value"),

@@ -28,9 +28,9 @@ def unmatched_coverage(t: Tables, min_pairs: int = 3) -> DataFrame:
 
 
 def job_heat_count(t: Tables) -> DataFrame:
-    """Resolved job/heat pairs (flag when any)."""
-    return bridges.job_heat(t).agg(F.count(F.lit(1)).alias("pairs"),
-                                   F.countDistinct("job_num").alias("jobs")) \
+    """Resolved job/heat pairs (flag when any), counted without building them."""
+    return bridges.job_heat_sizes(t).agg(F.coalesce(F.sum("pours"), F.lit(0)).alias("pairs"),
+                                         F.countDistinct("job_num").alias("jobs")) \
         .withColumn("flagged", F.col("pairs") > 0)
 
 

@@ -16,6 +16,14 @@ bucket) per task - not the rows. The join and the inner window share one
 The bucket must be non-decreasing in the order (a coarser form of it: the
 due day, the minute of a timestamp). With exact (integer or decimal) values the
 result is identical to the one-window form.
+
+A (key, bucket) can itself be hot: a third of all requests in one minute.
+Where the size of what is read lets one bucket outgrow a task
+(``SPLIT_BYTES``), ``prefix_sum`` therefore cuts by ranges of the whole order
+instead of buckets. The rows are range-partitioned on (key, order), which
+gives every task the same share whatever is hot; a running total over the
+ranges of each key (a row per key and range) gives the offsets, and the inner
+window runs within one range of one key. Both forms are exact.
 """
 
 from __future__ import annotations
@@ -23,11 +31,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from castwork.operators.ranks import ROW_BITS
+
+# Bytes of input below which all rows of one bucket fit a task.
+SPLIT_BYTES = 256 << 20
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the sources that the plan reads, by Catalyst's statistics (no job is run); None where there are none.
+    A source of unknown size counts as a very large one."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    except Exception:  # noqa: BLE001 - a remote session has no plan here
+        return None
+
 
 def prefix_sum(df: DataFrame, value: Column, *, partition: list[str], bucket: Column,
-               order: list[str | Column], out: str, inclusive: bool = True) -> DataFrame:
+               order: list[str | Column], out: str, inclusive: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Add ``out`` = running sum of ``value`` within ``partition`` in ``order``
     (including the current row unless ``inclusive=False``)."""
+    size = input_bytes(df)
+    if size is None or size > split_bytes:
+        return _by_ranges(df, value, partition, [bucket, *order], out, inclusive)
     d = df.withColumn("_pb", bucket).withColumn("_pv", value)
     totals = d.groupBy(*partition, "_pb").agg(F.sum("_pv").alias("_bt"))
     before = Window.partitionBy(*partition).orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,8 +66,25 @@ def prefix_sum(df: DataFrame, value: Column, *, partition: list[str], bucket: Co
             .drop("_pb", "_pv", "_off"))
 
 
+def _by_ranges(df: DataFrame, value: Column, partition: list[str], order: list[str | Column], out: str, inclusive: bool) -> DataFrame:
+    """``prefix_sum`` over ranges of (key, order). The ranged rows are checkpointed, so that all that follows, and a
+    task that is run again, sees the same ranges."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.withColumn("_pv", value)
+    ranged = (d.repartitionByRange(n, *partition, *order).sortWithinPartitions(*partition, *order)
+              .withColumn("_at", F.monotonically_increasing_id()).checkpoint().withColumn("_r", F.shiftright("_at", ROW_BITS)))
+    totals = ranged.groupBy(*partition, "_r").agg(F.sum("_pv").alias("_bt"))
+    before = Window.partitionBy(*partition).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.sum("_bt").over(before)).drop("_bt")
+    frame = Window.partitionBy(*partition, "_r").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    zero = F.lit(0).cast(d.schema["_pv"].dataType)
+    return (ranged.join(offsets, [*partition, "_r"])
+            .withColumn(out, F.coalesce(F.col("_off"), zero) + F.coalesce(F.sum("_pv").over(frame), zero))
+            .drop("_at", "_r", "_pv", "_off"))
+
+
 def prefix_count(df: DataFrame, *, partition: list[str], bucket: Column, order: list[str | Column],
-                 out: str) -> DataFrame:
+                 out: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """1-based position of each row within ``partition`` in ``order``
     (``row_number`` computed bucket by bucket)."""
-    return prefix_sum(df, F.lit(1).cast("bigint"), partition=partition, bucket=bucket, order=order, out=out)
+    return prefix_sum(df, F.lit(1).cast("bigint"), partition=partition, bucket=bucket, order=order, out=out, split_bytes=split_bytes)

@@ -153,8 +153,9 @@ QUERIES.update({
 
 QUERIES.update({
     "findings_fingerprint": lambda t: result.findings_fingerprint(anomalies.findings(t, as_of=Q)),
-    "schedule_fingerprint": lambda t: result.table_fingerprint(
-        schedule.segments(t, as_of=Q), ["wc_code", "day", "job_num", "oper_seq", "hours", "changeover", "late"]),
+    "schedule_fingerprint": lambda t: result.schedule_fingerprint({
+        "segment": schedule.segments(t, as_of=Q), "centre": schedule.centre_rollup(t, as_of=Q),
+        "total": schedule.schedule_totals(t, as_of=Q), "unscheduled": schedule.unscheduled(t, as_of=Q)}),
     "catalog": catalog.catalog,
     "page_job_oper": lambda t: decimals_to_double(catalog.page(t, "job_oper", limit=50, offset=100)),
     "visitor_hash": lambda t: metering.visitors(t).select("event_id", "visitor"),

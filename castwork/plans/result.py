@@ -58,10 +58,42 @@ def findings_fingerprint(findings: DataFrame) -> DataFrame:
                         F.count(F.lit(1)).alias("findings"))
 
 
+def _row_digests(df: DataFrame, cols: list[str], name: str | None = None) -> DataFrame:
+    """Per row, the first 15 hex digits of the sha256 of its columns (and of the frame's name) as a number."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in cols]
+    row = F.sha2(F.concat_ws("|", *([F.lit(name)] if name else []), *text), 256)
+    return df.select(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)").alias("h"))
+
+
 def table_fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
     """R06 for a large result (a schedule): an order-free digest - the sum of
     the first 15 hex digits of each row's sha256 - that is computed with a
     map-side partial aggregate and never gathers the rows."""
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in cols]), 256)
-    h = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.sum(h).cast("string").alias("digest"), F.count(F.lit(1)).alias("rows"))
+    return _row_digests(df, cols).agg(F.sum("h").cast("string").alias("digest"), F.count(F.lit(1)).alias("rows"))
+
+
+def frames_fingerprint(frames: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """R06 over several named frames of one result: the digests of all their
+    rows add up (sums merge in any order, over any number of partitions), and
+    a row counts under its frame's name, so that the same values in another
+    frame are another result."""
+    parts = [_row_digests(df, cols, name) for name, (df, cols) in frames.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.agg(F.sum("h").cast("string").alias("digest"), F.count(F.lit(1)).alias("rows"))
+
+
+# What identifies a weekly plan: its segments, centres, totals and what did not fit.
+SCHEDULE_FRAMES = {
+    "segment": ["wc_code", "day", "job_num", "oper_seq", "hours", "changeover", "late"],
+    "centre": ["wc_code", "dept", "hours_scheduled", "utilization_pct", "effective_per_day", "capacity_per_day",
+               "downtime_discount_pct", "changeovers", "setups_saved", "resequenced"],
+    "total": ["operations_scheduled", "hours_scheduled", "operations_unscheduled", "hours_unscheduled", "late_operations"],
+    "unscheduled": ["job_num", "oper_seq", "wc_code", "hours_needed", "due_date"],
+}
+
+
+def schedule_fingerprint(frames: dict[str, DataFrame]) -> DataFrame:
+    """R06 of a weekly plan, over all of ``SCHEDULE_FRAMES``."""
+    return frames_fingerprint({n: (frames[n], cols) for n, cols in SCHEDULE_FRAMES.items()})

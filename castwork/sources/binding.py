@@ -191,6 +191,17 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
         F.col("l_quantity").cast("int").alias("molds_poured"),
         (F.col("o_orderdate") + _hours(F.col("l_linenumber") * 12)).alias("poured_at"),
     )
+    fails = F.expr("(cast(l_quantity as int) * cast(round(l_discount * 100) as int)) div 100").cast("int")
+    inspect_result = pours.where(F.col("l_orderkey") % 4 == 0).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("inspect_seq"),
+        F.when(F.col("l_orderkey") % 50 == 0, F.lit("PTN-9999")).otherwise(F.col("pattern_code")).alias("pattern_code"),
+        F.when(F.col("l_orderkey") % 16 != 0, heat_num).alias("heat_num"),
+        F.col("l_quantity").cast("int").alias("sample_qty"),
+        (F.col("l_quantity").cast("int") - fails).alias("pass_qty"),
+        fails.alias("fail_qty"),
+        F.when(fails > 0, F.concat(F.lit("DEF-"), (F.lit(1) + F.col("l_partkey") % 6).cast("string"))).alias("defect_code"),
+        (F.col("o_orderdate") + _hours(F.col("l_linenumber") * 12 + 24)).alias("inspected_at"),
+    )
     min_disc = F.min("l_discount").cast("decimal(4,2)")
     heat = (li_a.groupBy(pour_date.alias("pour_date"), furnace_no.alias("f"))
             .agg(F.min("o_orderdate").alias("first_order"),
@@ -258,7 +269,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
     )
     board_item = items.drop("o_orderkey")
     ref = F.lit(100000) + k
-    job_ref = (F.when(k % 12 == 0, "").when(k % 12 == 1, "TBD")
+    job_ref = (F.when(k % 12 == 0, "").when(k % 24 == 13, "O'Neil's \\ old order").when(k % 12 == 1, "TBD")
                .when(k % 12 == 2, F.concat(F.lit("J"), ref.cast("string")))
                .when(k % 12 == 3, ref.cast("string"))
                .when(k % 12 == 4, F.concat(F.lit("Job "), ref.cast("string")))
@@ -289,7 +300,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
     t = Tables(
         part=part.drop("p_partkey"), work_center=work_center.drop("n_nationkey"), scrap_reason=scrap_reason,
         job_head=job_head, job_oper=job_oper, labor_dtl=labor_dtl, scrap_dtl=scrap_dtl,
-        heat=heat, pour_record=pour_record, tag_history=tag_history, downtime_event=downtime_event,
+        heat=heat, pour_record=pour_record, inspect_result=inspect_result, tag_history=tag_history, downtime_event=downtime_event,
         board_item=board_item, column_value=column_value, part_pattern=part_pattern, wc_tag=wc_tag,
         request_event=request_event, job_ref_digits=12,  # order keys go beyond six digits
     )

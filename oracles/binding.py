@@ -58,6 +58,15 @@ SELECT concat('H-', CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR), '-F', CAST(1 +
   o.o_orderdate + l.l_linenumber * INTERVAL '12' HOUR AS poured_at
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN job_head_b j ON j.job_num = concat('J-', CAST(100000 + l.l_orderkey AS VARCHAR))
   JOIN part_pattern_b pp ON pp.part_num = j.part_num WHERE l.l_returnflag = 'A'""", ("job_head_b", "part_pattern_b")),
+    "inspect_result_b": ("""
+SELECT CAST(o.o_orderkey * 10 + l.l_linenumber AS BIGINT) AS inspect_seq, CASE WHEN o.o_orderkey % 50 = 0 THEN 'PTN-9999' ELSE pp.pattern_code END AS pattern_code,
+  CASE WHEN o.o_orderkey % 16 <> 0 THEN concat('H-', CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR), '-F', CAST(1 + l.l_suppkey % 3 AS VARCHAR)) END AS heat_num,
+  CAST(l.l_quantity AS INT) AS sample_qty, CAST(CAST(l.l_quantity AS INT) - (CAST(l.l_quantity AS INT) * CAST(round(l.l_discount * 100) AS INT)) // 100 AS INT) AS pass_qty,
+  CAST((CAST(l.l_quantity AS INT) * CAST(round(l.l_discount * 100) AS INT)) // 100 AS INT) AS fail_qty,
+  CASE WHEN (CAST(l.l_quantity AS INT) * CAST(round(l.l_discount * 100) AS INT)) // 100 > 0 THEN concat('DEF-', CAST(1 + l.l_partkey % 6 AS VARCHAR)) END AS defect_code,
+  o.o_orderdate + (l.l_linenumber * 12 + 24) * INTERVAL '1' HOUR AS inspected_at
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN job_head_b j ON j.job_num = concat('J-', CAST(100000 + l.l_orderkey AS VARCHAR))
+  JOIN part_pattern_b pp ON pp.part_num = j.part_num WHERE l.l_returnflag = 'A' AND o.o_orderkey % 4 = 0""", ("job_head_b", "part_pattern_b")),
     "heat_b": ("""
 SELECT concat('H-', CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR), '-F', CAST(1 + l.l_suppkey % 3 AS VARCHAR)) AS heat_num,
   concat('FURN-', CAST(1 + l.l_suppkey % 3 AS VARCHAR)) AS furnace_id, 'A356' AS alloy_spec, CAST(o.o_orderdate AS DATE) AS pour_date, min(o.o_orderdate) + INTERVAL '6' HOUR AS poured_at,
@@ -81,7 +90,7 @@ SELECT 7700000000 + o_orderkey AS item_id, CASE o_orderkey % 3 WHEN 0 THEN 'Expe
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) + CAST(8 + o_orderkey % 35 AS INT) AS DATE) END AS promised_date, o_orderdate AS created_at, o_orderkey
   FROM orders WHERE o_orderpriority = '1-URGENT'""", ()),
     "column_value_b": ("""
-SELECT item_id, 'Job #' AS column_title, CASE o_orderkey % 12 WHEN 0 THEN '' WHEN 1 THEN 'TBD' WHEN 2 THEN concat('J', CAST(100000 + o_orderkey AS VARCHAR))
+SELECT item_id, 'Job #' AS column_title, CASE o_orderkey % 12 WHEN 0 THEN '' WHEN 1 THEN CASE WHEN o_orderkey % 24 = 13 THEN 'O''Neil''s \ old order' ELSE 'TBD' END WHEN 2 THEN concat('J', CAST(100000 + o_orderkey AS VARCHAR))
     WHEN 3 THEN CAST(100000 + o_orderkey AS VARCHAR) WHEN 4 THEN concat('Job ', CAST(100000 + o_orderkey AS VARCHAR)) WHEN 5 THEN concat('J-000', lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0'))
     WHEN 6 THEN concat('  j-', CAST(100000 + o_orderkey AS VARCHAR), ' ') ELSE concat('J-', CAST(100000 + o_orderkey AS VARCHAR)) END AS text_value FROM board_item_b
   UNION ALL SELECT item_id, 'Notes', concat('note ', CAST(o_orderkey % 6 AS VARCHAR)) FROM board_item_b

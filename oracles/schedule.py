@@ -63,19 +63,29 @@ def _num(tenths: str) -> str:
     return f"(CASE WHEN {tenths} % 10 = 0 THEN CAST({tenths} // 10 AS VARCHAR) ELSE CAST({tenths} // 10 AS VARCHAR) || '.' || CAST({tenths} % 10 AS VARCHAR) END)"
 
 
+_TOTALS = """SELECT CAST((SELECT sum(CAST(hours_scheduled AS DECIMAL(18,1))) FROM cen) AS DOUBLE) AS hours_scheduled,
+        CAST(u.h AS DOUBLE) AS hours_unscheduled, u.n AS operations_unscheduled, s.n AS operations_scheduled, s.late AS late_operations,
+        CAST(u.h AS DOUBLE) AS overtime_hours_needed
+      FROM (SELECT coalesce(sum(CAST(hours_needed AS DECIMAL(18,1))), 0) AS h, count(*) AS n FROM uns) u,
+           (SELECT count(*) AS n, count(*) FILTER (WHERE late) AS late FROM (SELECT wc_code, job_num, oper_seq, max(late) AS late FROM seg GROUP BY ALL)) s"""
+
 #: Query key -> what it selects from the plan.
 SELECTS = {
     "schedule_segments": "SELECT * FROM seg",
     "schedule_centres": "SELECT * FROM cen",
     "schedule_unscheduled": "SELECT * FROM uns",
-    "schedule_totals": """SELECT CAST((SELECT sum(CAST(hours_scheduled AS DECIMAL(18,1))) FROM cen) AS DOUBLE) AS hours_scheduled,
-        CAST(u.h AS DOUBLE) AS hours_unscheduled, u.n AS operations_unscheduled, s.n AS operations_scheduled, s.late AS late_operations,
-        CAST(u.h AS DOUBLE) AS overtime_hours_needed
-      FROM (SELECT coalesce(sum(CAST(hours_needed AS DECIMAL(18,1))), 0) AS h, count(*) AS n FROM uns) u,
-           (SELECT count(*) AS n, count(*) FILTER (WHERE late) AS late FROM (SELECT wc_code, job_num, oper_seq, max(late) AS late FROM seg GROUP BY ALL)) s""",
+    "schedule_totals": _TOTALS,
     "schedule_day_usage": """SELECT s.wc_code, s.day, s.day_date, CAST(sum(CAST(s.hours AS DECIMAL(18,2))) AS DOUBLE) AS used_hrs, any_value(c.effective_per_day) AS effective_per_day
       FROM seg s JOIN cap c USING (wc_code) GROUP BY 1, 2, 3""",
     "schedule_families": "SELECT DISTINCT family FROM seg",
     "schedule_fingerprint": """SELECT CAST(sum(CAST(('0x' || substr(h, 1, 15)) AS HUGEINT)) AS VARCHAR) AS digest, count(*) AS rows FROM (
-        SELECT sha256(concat_ws('|', wc_code, CAST(day AS VARCHAR), job_num, CAST(oper_seq AS VARCHAR), CAST(hours AS VARCHAR), CAST(changeover AS VARCHAR), CAST(late AS VARCHAR))) AS h FROM seg)""",
+        SELECT sha256(concat_ws('|', 'segment', wc_code, CAST(day AS VARCHAR), job_num, CAST(oper_seq AS VARCHAR), CAST(CAST(hours AS DOUBLE) AS VARCHAR), CAST(changeover AS VARCHAR), CAST(late AS VARCHAR))) AS h FROM seg
+        UNION ALL
+        SELECT sha256(concat_ws('|', 'centre', wc_code, dept, CAST(CAST(hours_scheduled AS DOUBLE) AS VARCHAR), CAST(CAST(utilization_pct AS DOUBLE) AS VARCHAR), CAST(CAST(effective_per_day AS DOUBLE) AS VARCHAR),
+            CAST(CAST(capacity_per_day AS DOUBLE) AS VARCHAR), CAST(CAST(downtime_discount_pct AS DOUBLE) AS VARCHAR), CAST(changeovers AS VARCHAR), CAST(setups_saved AS VARCHAR), CAST(resequenced AS VARCHAR))) FROM cen
+        UNION ALL
+        SELECT sha256(concat_ws('|', 'total', CAST(operations_scheduled AS VARCHAR), CAST(hours_scheduled AS VARCHAR), CAST(operations_unscheduled AS VARCHAR), CAST(hours_unscheduled AS VARCHAR), CAST(late_operations AS VARCHAR)))
+        FROM (""" + _TOTALS + """)
+        UNION ALL
+        SELECT sha256(concat_ws('|', 'unscheduled', job_num, CAST(oper_seq AS VARCHAR), wc_code, CAST(CAST(hours_needed AS DOUBLE) AS VARCHAR), CAST(due_date AS VARCHAR))) FROM uns)""",
 }

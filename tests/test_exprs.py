@@ -62,6 +62,7 @@ def test_unplanned_is_substring_rule(spark):
 
 def test_quote_literal(spark):
     assert _one(spark, X.quote_literal(F.lit("O'Brien"))) == "'O''Brien'"
+    assert _one(spark, X.quote_literal(F.lit("a\\b'c"))) == "E'a\\\\b''c'"
 
 
 def test_visitor_hash(spark):
