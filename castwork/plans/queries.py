@@ -127,7 +127,7 @@ QUERIES.update({
     "mechanism_corr": lambda t: signals.mechanism_corr(t),
     "linked_items": signals.linked_items,
     "cohort_delta": lambda t: signals.cohort_delta(t),
-    "operator_prefix_count": lambda t: signals.operator_prefix_count(t, prefix="E-10"),
+    "operator_prefix_count": lambda t: signals.operator_prefix_count(t, prefix="E-101"),
     "family_overrun": lambda t: signals.family_overrun(t),
     "overrun_operators": lambda t: signals.overrun_operators(t),
     "event_rate_ratio": lambda t: signals.event_rate_ratio(t),

@@ -28,6 +28,13 @@ OPEN_SINCE = "2001-06-02 00:00:00"
 DEGAS_DROP_FROM = dt.date(2001, 6, 6)
 # The event stream is moved back this many days to end at AS_OF.
 EVENT_SHIFT_DAYS = 8217
+# Planted signals, so that every detector has rows that it flags and rows that it does not (FIXTURES.md section 2):
+# scrap of one reason grows twelvefold from a day on; one order in 40 makes part 7 and takes twice its standard, one
+# in 40 makes part 8 and keeps it; one centre slows down; historian and downtime events go back 300 days, those of
+# two cells pile up at the end, the samples of a third halve there; returns rise; some parts have two patterns.
+SCRAP_SPIKE_FROM = "2001-07-04 00:00:00"
+RETURNS_RISE_FROM = dt.date(2001, 5, 1)
+SLOW_CENTRE = "NATION_3"
 
 # Fixed scrap reason lookup (the driver data has codes RC1-RC7 only).
 SCRAP_REASONS = [
@@ -111,7 +118,8 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
 
     # -- job_head: one job per order that has lines --------------------------
     per_order = li.groupBy("l_orderkey").agg(
-        F.min("l_partkey").alias("pk"),
+        F.when(F.col("l_orderkey") % 40 == 0, F.lit(7)).when(F.col("l_orderkey") % 40 == 1, F.lit(8))
+         .otherwise(F.min("l_partkey")).cast("bigint").alias("pk"),
         F.sum("l_quantity").cast("bigint").alias("qty"),
         F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(F.lit(0))).cast("bigint").alias("good"),
     )
@@ -139,8 +147,10 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
                F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(F.lit(0))).alias("good"),
                F.sum(F.when(F.col("l_returnflag") == "R", F.ceil(F.col("l_quantity") * 0.1)).otherwise(F.lit(0))).alias("scrap")))
     not_started = ((F.col("max_rf") == "N") & (F.col("min_od") >= ts_ntz(OPEN_SINCE)) & (F.col("min_os") != "F"))
+    slow = (F.col("wc_code") == SLOW_CENTRE) & (F.col("min_od") >= ts_ntz(OPEN_SINCE))
+    times = F.when(F.col("l_orderkey") % 40 == 0, 2).otherwise(1) * F.when(slow, 2).otherwise(1)
     act_prod = (F.when(not_started, F.lit(0))
-                .otherwise(F.col("q") * (F.lit(92) + F.col("l_orderkey") % 37) / F.lit(1000))
+                .otherwise(F.col("q") * ((F.lit(92) + F.col("l_orderkey") % 37) * times) / F.lit(1000))
                 .cast("decimal(9,3)"))
     est_setup = (F.lit(0.5) + F.col("l_linenumber") * F.lit(0.25)).cast("decimal(7,2)")
     job_oper = ops.select(
@@ -168,15 +178,18 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
     scrap_dtl = li_o.where(F.col("l_returnflag") == "R").select(
         _job_num(F.col("l_orderkey")).alias("job_num"),
         (F.col("l_linenumber") * 10).alias("oper_seq"),
-        F.ceil(F.col("l_quantity") * 0.1).cast("bigint").alias("scrap_qty"),
+        (F.ceil(F.col("l_quantity") * 0.1) * F.when((F.col("l_linenumber") == 3) & (F.col("o_orderdate") >= ts_ntz(SCRAP_SPIKE_FROM)), 12)
+         .otherwise(1)).cast("bigint").alias("scrap_qty"),
         F.concat(F.lit("RC"), F.col("l_linenumber").cast("string")).alias("reason_code"),
         (F.col("o_orderdate") + _hours(F.lit(9))).alias("logged_at"),
     )
 
     # -- pattern bridge, pours and heats ---------------------------------------
+    pattern = lambda k: F.concat(F.lit("PTN-"), F.lpad((k % 150).cast("string"), 4, "0"))
     part_pattern = part.where(F.col("p_partkey") % 12 != 0).select(
         "part_num",
-        F.concat(F.lit("PTN-"), F.lpad((F.col("p_partkey") % 150).cast("string"), 4, "0")).alias("pattern_code"),
+        F.explode(F.when(F.col("p_partkey") % 40 == 9, F.array(pattern(F.col("p_partkey")), pattern(F.col("p_partkey") + 75)))
+                  .otherwise(F.array(pattern(F.col("p_partkey"))))).alias("pattern_code"),
     )
     furnace_no = (F.lit(1) + F.col("l_suppkey") % 3)
     pour_date = F.col("o_orderdate").cast("date")
@@ -215,8 +228,8 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
                 "pour_date",
                 (F.col("first_order") + _hours(F.lit(6))).alias("poured_at"),
                 (F.col("q") * 40).cast("decimal(18,2)").alias("lbs_charged"),
-                (F.col("q") * 36).cast("decimal(18,2)").alias("lbs_poured"),
-                (F.col("q") * 4).cast("decimal(18,2)").alias("lbs_returns"),
+                (F.col("q") * (F.lit(32) + F.dayofmonth("pour_date") % 5)).cast("decimal(18,2)").alias("lbs_poured"),
+                (F.col("q") * F.when(F.col("pour_date") >= F.lit(RETURNS_RISE_FROM), 6).otherwise(4)).cast("decimal(18,2)").alias("lbs_returns"),
                 (F.lit(12) - F.col("disc") * 8
                  - F.when((F.col("f") == 3) & (F.col("pour_date") >= F.lit(DEGAS_DROP_FROM)), F.lit(4)).otherwise(F.lit(0))
                  ).cast("decimal(5,2)").alias("degas_minutes"),
@@ -226,12 +239,15 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
 
     # -- historian -----------------------------------------------------------
     shift = F.make_dt_interval(F.lit(EVENT_SHIFT_DAYS))
+    cell, turn = F.col("user_id") % 30, F.col("event_id") % 10
+    back = F.make_dt_interval((F.lit(EVENT_SHIFT_DAYS) + F.when(cell.isin(3, 11), F.when(turn == 9, 270).otherwise(0)).otherwise(turn * 30)).cast("int"))
+    halves = (cell == 4) & (turn == 0)
     tag_path = F.concat(F.lit("Plant/Cell"), (F.col("user_id") % 30).cast("string"), F.lit("/"), F.col("event_type"))
     tag_history = events.select(
         F.col("event_id").alias("tag_id"),
         tag_path.alias("tag_path"),
-        (F.col("ts") - shift).alias("ts"),
-        F.col("value").alias("value_float"),
+        (F.col("ts") - back).alias("ts"),
+        F.when(halves, F.col("value") / 2).otherwise(F.col("value")).alias("value_float"),
         F.lit(192).alias("quality"),
     )
     eid = F.col("event_id")
@@ -242,9 +258,9 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
     downtime_event = events.where(F.col("event_type") == "error").select(
         "event_id",
         tag_path.alias("tag_path"),
-        (F.col("ts") - shift).alias("started_at"),
+        (F.col("ts") - back).alias("started_at"),
         F.when(eid % 25 == 0, F.lit(None))
-         .otherwise(F.col("ts") - shift + _hours(F.lit(1) + eid % 6)).alias("ended_at"),
+         .otherwise(F.col("ts") - back + _hours(F.lit(1) + eid % 6)).alias("ended_at"),
         reason.alias("reason_text"),
     )
     wc_tag = nation.select(

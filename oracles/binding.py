@@ -28,7 +28,7 @@ SELECT * FROM (VALUES ('RC1', 'Gas porosity', 'MELT'), ('RC2', 'Shrinkage porosi
 SELECT concat('J-', CAST(100000 + o.o_orderkey AS VARCHAR)) AS job_num, concat('P-', lpad(CAST(l.pk AS VARCHAR), greatest(6, length(CAST(l.pk AS VARCHAR)))::INT, '0')) AS part_num,
   l.qty AS qty_ordered, l.good AS qty_completed, CAST(CAST(o.o_orderdate AS DATE) + CAST(10 + o.o_orderkey % 35 AS INT) AS DATE) AS req_due_date,
   (o.o_orderstatus = 'F' OR o.o_orderdate < TIMESTAMP '2001-06-02 00:00:00') AS job_closed, o.o_orderdate AS created_at
-  FROM orders o JOIN (SELECT l_orderkey, min(l_partkey) AS pk, CAST(sum(l_quantity) AS BIGINT) AS qty,
+  FROM orders o JOIN (SELECT l_orderkey, CAST(CASE WHEN l_orderkey % 40 = 0 THEN 7 WHEN l_orderkey % 40 = 1 THEN 8 ELSE min(l_partkey) END AS BIGINT) AS pk, CAST(sum(l_quantity) AS BIGINT) AS qty,
     CAST(sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END) AS BIGINT) AS good FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey""", ()),
     "job_oper_b": ("""
 SELECT job_num, oper_seq, wc_code, est_setup_hrs, est_prod_hrs,
@@ -36,7 +36,7 @@ SELECT job_num, oper_seq, wc_code, est_setup_hrs, est_prod_hrs,
 FROM (SELECT concat('J-', CAST(100000 + l.l_orderkey AS VARCHAR)) AS job_num, l.l_linenumber * 10 AS oper_seq, min(w.wc_code) AS wc_code,
   CAST(0.5 + l.l_linenumber * 0.25 AS DECIMAL(7,2)) AS est_setup_hrs, CAST(sum(l.l_quantity) * 0.1 AS DECIMAL(7,2)) AS est_prod_hrs,
   CAST(CASE WHEN max(l.l_returnflag) = 'N' AND min(o.o_orderdate) >= TIMESTAMP '2001-06-02 00:00:00' AND min(o.o_orderstatus) <> 'F' THEN 0
-       ELSE sum(l.l_quantity) * (92 + l.l_orderkey % 37) / 1000 END AS DECIMAL(9,3)) AS act_prod_hrs,
+       ELSE sum(l.l_quantity) * ((92 + l.l_orderkey % 37) * CASE WHEN l.l_orderkey % 40 = 0 THEN 2 ELSE 1 END * CASE WHEN min(w.wc_code) = 'NATION_3' AND min(o.o_orderdate) >= TIMESTAMP '2001-06-02 00:00:00' THEN 2 ELSE 1 END) / 1000 END AS DECIMAL(9,3)) AS act_prod_hrs,
   CAST(sum(CASE WHEN l.l_linestatus = 'F' THEN l.l_quantity ELSE 0 END) AS BIGINT) AS qty_completed,
   CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN ceil(l.l_quantity * 0.1) ELSE 0 END) AS BIGINT) AS scrap_qty
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN work_center_b w ON w.n_nationkey = s.s_nationkey
@@ -47,11 +47,12 @@ SELECT concat('E-', CAST(1000 + l.l_suppkey % 40 AS VARCHAR)) AS employee_num, c
   CAST(l.l_quantity * 0.1 AS DECIMAL(6,2)) AS labor_hrs, CAST(1 + l.l_suppkey % 3 AS INT) AS shift
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE l.l_returnflag IN ('A', 'R')""", ()),
     "scrap_dtl_b": ("""
-SELECT concat('J-', CAST(100000 + l.l_orderkey AS VARCHAR)) AS job_num, l.l_linenumber * 10 AS oper_seq, CAST(ceil(l.l_quantity * 0.1) AS BIGINT) AS scrap_qty,
+SELECT concat('J-', CAST(100000 + l.l_orderkey AS VARCHAR)) AS job_num, l.l_linenumber * 10 AS oper_seq, CAST(ceil(l.l_quantity * 0.1) * CASE WHEN l.l_linenumber = 3 AND o.o_orderdate >= TIMESTAMP '2001-07-04 00:00:00' THEN 12 ELSE 1 END AS BIGINT) AS scrap_qty,
   concat('RC', CAST(l.l_linenumber AS VARCHAR)) AS reason_code, o.o_orderdate + INTERVAL '9' HOUR AS logged_at
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE l.l_returnflag = 'R'""", ()),
     "part_pattern_b": ("""
-SELECT part_num, concat('PTN-', lpad(CAST(p_partkey % 150 AS VARCHAR), 4, '0')) AS pattern_code FROM part_b WHERE p_partkey % 12 <> 0""", ("part_b",)),
+SELECT part_num, concat('PTN-', lpad(CAST(p_partkey % 150 AS VARCHAR), 4, '0')) AS pattern_code FROM part_b WHERE p_partkey % 12 <> 0
+  UNION ALL SELECT part_num, concat('PTN-', lpad(CAST((p_partkey + 75) % 150 AS VARCHAR), 4, '0')) FROM part_b WHERE p_partkey % 12 <> 0 AND p_partkey % 40 = 9""", ("part_b",)),
     "pour_record_b": ("""
 SELECT concat('H-', CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR), '-F', CAST(1 + l.l_suppkey % 3 AS VARCHAR)) AS heat_num,
   CASE WHEN l.l_orderkey % 50 = 0 THEN 'PTN-9999' ELSE pp.pattern_code END AS pattern_code, CAST(l.l_quantity AS INT) AS molds_poured,
@@ -70,15 +71,15 @@ SELECT CAST(o.o_orderkey * 10 + l.l_linenumber AS BIGINT) AS inspect_seq, CASE W
     "heat_b": ("""
 SELECT concat('H-', CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR), '-F', CAST(1 + l.l_suppkey % 3 AS VARCHAR)) AS heat_num,
   concat('FURN-', CAST(1 + l.l_suppkey % 3 AS VARCHAR)) AS furnace_id, 'A356' AS alloy_spec, CAST(o.o_orderdate AS DATE) AS pour_date, min(o.o_orderdate) + INTERVAL '6' HOUR AS poured_at,
-  CAST(sum(l.l_quantity) * 40 AS DECIMAL(18,2)) AS lbs_charged, CAST(sum(l.l_quantity) * 36 AS DECIMAL(18,2)) AS lbs_poured, CAST(sum(l.l_quantity) * 4 AS DECIMAL(18,2)) AS lbs_returns,
+  CAST(sum(l.l_quantity) * 40 AS DECIMAL(18,2)) AS lbs_charged, CAST(sum(l.l_quantity) * (32 + day(CAST(o.o_orderdate AS DATE)) % 5) AS DECIMAL(18,2)) AS lbs_poured, CAST(sum(l.l_quantity) * CASE WHEN CAST(o.o_orderdate AS DATE) >= DATE '2001-05-01' THEN 6 ELSE 4 END AS DECIMAL(18,2)) AS lbs_returns,
   CAST(12 - CAST(min(l.l_discount) AS DECIMAL(4,2)) * 8 - CASE WHEN 1 + l.l_suppkey % 3 = 3 AND CAST(o.o_orderdate AS DATE) >= DATE '2001-06-06' THEN 4 ELSE 0 END AS DECIMAL(5,2)) AS degas_minutes,
   CASE WHEN min(l.l_orderkey) % 8 = 0 THEN NULL ELSE CAST(2.62 - CAST(min(l.l_discount) AS DECIMAL(4,2)) / 10 AS DECIMAL(5,3)) END AS rpt_density
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE l.l_returnflag = 'A' GROUP BY CAST(o.o_orderdate AS DATE), 1 + l.l_suppkey % 3, l.l_suppkey % 3""", ()),
     "tag_history_b": ("""
-SELECT event_id AS tag_id, concat('Plant/Cell', CAST(user_id % 30 AS VARCHAR), '/', event_type) AS tag_path, ts - INTERVAL '8217' DAY AS ts, value AS value_float, 192 AS quality FROM events""", ()),
+SELECT event_id AS tag_id, concat('Plant/Cell', CAST(user_id % 30 AS VARCHAR), '/', event_type) AS tag_path, ts - (8217 + CASE WHEN user_id % 30 IN (3, 11) THEN CASE WHEN event_id % 10 = 9 THEN 270 ELSE 0 END ELSE event_id % 10 * 30 END) * INTERVAL '1' DAY AS ts, CASE WHEN user_id % 30 = 4 AND event_id % 10 = 0 THEN value / 2 ELSE value END AS value_float, 192 AS quality FROM events""", ()),
     "downtime_event_b": ("""
-SELECT event_id, concat('Plant/Cell', CAST(user_id % 30 AS VARCHAR), '/', event_type) AS tag_path, ts - INTERVAL '8217' DAY AS started_at,
-  CASE WHEN event_id % 25 = 0 THEN NULL ELSE ts - INTERVAL '8217' DAY + (1 + event_id % 6) * INTERVAL '1' HOUR END AS ended_at,
+SELECT event_id, concat('Plant/Cell', CAST(user_id % 30 AS VARCHAR), '/', event_type) AS tag_path, ts - (8217 + CASE WHEN user_id % 30 IN (3, 11) THEN CASE WHEN event_id % 10 = 9 THEN 270 ELSE 0 END ELSE event_id % 10 * 30 END) * INTERVAL '1' DAY AS started_at,
+  CASE WHEN event_id % 25 = 0 THEN NULL ELSE ts - (8217 + CASE WHEN user_id % 30 IN (3, 11) THEN CASE WHEN event_id % 10 = 9 THEN 270 ELSE 0 END ELSE event_id % 10 * 30 END) * INTERVAL '1' DAY + (1 + event_id % 6) * INTERVAL '1' HOUR END AS ended_at,
   CASE event_id % 8 WHEN 0 THEN 'die change' WHEN 1 THEN 'PM - scheduled' WHEN 2 THEN 'spindle fault' WHEN 3 THEN 'SPINDLE FAULT - waiting' WHEN 4 THEN NULL
     WHEN 5 THEN 'sand jam' WHEN 6 THEN 'unscheduled stop' ELSE 'coolant pump failure' END AS reason_text FROM events WHERE event_type = 'error'""", ()),
     "wc_tag_b": ("""
