@@ -91,7 +91,7 @@ SELECT 7700000000 + o_orderkey AS item_id, CASE o_orderkey % 3 WHEN 0 THEN 'Expe
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) + CAST(8 + o_orderkey % 35 AS INT) AS DATE) END AS promised_date, o_orderdate AS created_at, o_orderkey
   FROM orders WHERE o_orderpriority = '1-URGENT'""", ()),
     "column_value_b": ("""
-SELECT item_id, 'Job #' AS column_title, CASE o_orderkey % 12 WHEN 0 THEN '' WHEN 1 THEN CASE WHEN o_orderkey % 24 = 13 THEN 'O''Neil''s \ old order' ELSE 'TBD' END WHEN 2 THEN concat('J', CAST(100000 + o_orderkey AS VARCHAR))
+SELECT item_id, 'Job #' AS column_title, CASE o_orderkey % 12 WHEN 0 THEN '' WHEN 1 THEN CASE WHEN o_orderkey % 24 = 13 THEN 'O''Neil''s \\ old order' ELSE 'TBD' END WHEN 2 THEN concat('J', CAST(100000 + o_orderkey AS VARCHAR))
     WHEN 3 THEN CAST(100000 + o_orderkey AS VARCHAR) WHEN 4 THEN concat('Job ', CAST(100000 + o_orderkey AS VARCHAR)) WHEN 5 THEN concat('J-000', lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0'))
     WHEN 6 THEN concat('  j-', CAST(100000 + o_orderkey AS VARCHAR), ' ') ELSE concat('J-', CAST(100000 + o_orderkey AS VARCHAR)) END AS text_value FROM board_item_b
   UNION ALL SELECT item_id, 'Notes', concat('note ', CAST(o_orderkey % 6 AS VARCHAR)) FROM board_item_b
