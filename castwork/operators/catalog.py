@@ -39,11 +39,10 @@ def _samples_resolved(t: Tables) -> DataFrame:
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
-# Views with one row per job, samples counted per tag, pours per time segment.
+# Views with one row per job, samples counted per tag.
 COUNTS: dict[str, Callable[[Tables], DataFrame]] = {
     "job_window": lambda t: t.job_head.agg(F.count(F.lit(1)).alias("rows")),
     "wc_tag_resolved": _samples_resolved,
-    "job_heat": lambda t: bridges.job_heat_sizes(t).agg(F.coalesce(F.sum("pours"), F.lit(0)).alias("rows")),
     # A row a bridge, by construction.
     "match_rate": lambda t: t.part.sparkSession.range(1).select(F.lit(bridges.RATED_PAIRS).alias("rows")),
 }

@@ -18,6 +18,7 @@ from castwork.functions.exprs import (
 )
 from castwork.operators import bridges, segments
 from castwork.operators.joins import day_span, path_prefixes
+from castwork.operators.windows import SPLIT_BYTES, input_bytes
 from castwork.sources.tables import Tables
 
 
@@ -75,15 +76,44 @@ def _bridged(df: DataFrame, t: Tables) -> DataFrame:
         .join(small(owned), "tag_prefix", "left_semi")
 
 
-def machine_signal(t: Tables, *, signal_role: str | None = None, good_only: bool = False) -> DataFrame:
+def _by_segments(jt: DataFrame, samples: DataFrame) -> DataFrame:
+    """Partials per job and tag from nested time segments: no join sees raw samples. Operations of a job on one
+    centre share a window and count by weight."""
+    rollup = segments.rolled_up(samples, "ts", ["tag_prefix", "tag_path"], "value_float")
+    windows = jt.groupBy("job_num", "wc_code", "signal_role", "tag_prefix", "started_at", "ended_at").agg(F.count(F.lit(1)).alias("times"))
+    met = segments.within(windows, rollup, "tag_prefix", "started_at", "ended_at")
+    return met.select(*SIGNAL_KEYS, (F.col("n") * F.col("times")).alias("n"), (F.col("total") * F.col("times")).alias("sv"),
+                      (F.col("n_values") * F.col("times")).alias("nv"), F.col("least").alias("mn"), F.col("most").alias("mx"))
+
+
+def _by_days(jt: DataFrame, samples: DataFrame) -> DataFrame:
+    """Partials per job and tag from whole days, and from the samples of a window's first and last day."""
+    s = samples.withColumn("_day", F.col("ts").cast("date"))
+    d0, d1 = F.col("started_at").cast("date"), F.col("ended_at").cast("date")
+    inner = jt.where(F.date_add(d0, 1) <= F.date_sub(d1, 1)).withColumn("_day", F.explode(F.sequence(F.date_add(d0, 1), F.date_sub(d1, 1))))
+    daily = s.groupBy("tag_prefix", "tag_path", "_day").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value_float").alias("sv"), F.count("value_float").alias("nv"),
+        F.min("value_float").alias("mn"), F.max("value_float").alias("mx"))
+    whole = inner.join(daily, ["tag_prefix", "_day"]).select(*SIGNAL_KEYS, "n", "sv", "nv", "mn", "mx")
+    edge = jt.where(d1 >= d0).withColumn("_day", F.explode(F.array_distinct(F.array(d0, d1))))
+    v = F.col("value_float")
+    part = (edge.join(s, ["tag_prefix", "_day"]).where((F.col("ts") >= F.col("started_at")) & (F.col("ts") <= F.col("ended_at")))
+            .select(*SIGNAL_KEYS, F.lit(1).cast("bigint").alias("n"), v.alias("sv"), v.isNotNull().cast("bigint").alias("nv"), v.alias("mn"), v.alias("mx")))
+    return whole.unionByName(part)
+
+
+SIGNAL_KEYS = ("job_num", "wc_code", "signal_role", "tag_path")
+
+
+def machine_signal(t: Tables, *, signal_role: str | None = None, good_only: bool = False, day_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Per (job, wc, role, tag) the historian samples inside the job's
     window: count, mean, min, max (2 dp). Quality is not filtered unless
     ``good_only`` (192 = good).
 
-    Samples are rolled up once into nested time segments (``segments``); a
-    window meets the few segments that cover it, its first and last day
-    included, so no join sees raw samples. Operations of a job on one centre
-    share a window and are counted by weight.
+    Where the sources read are over ``day_bytes``, windows meet the few nested
+    time segments that cover them, their first and last day included. Below,
+    a day holds few samples, and its edge days meet those, which costs less
+    than working out covers. Both are exact.
     """
     jt = _job_tags(t)
     if signal_role is not None:
@@ -92,14 +122,11 @@ def machine_signal(t: Tables, *, signal_role: str | None = None, good_only: bool
     if good_only:
         th = th.where(F.col("quality") == 192)
     samples = _bridged(th.select("tag_path", "ts", "value_float"), t)
-    rollup = segments.rolled_up(samples, "ts", ["tag_prefix", "tag_path"], "value_float")
-    windows = jt.groupBy("job_num", "wc_code", "signal_role", "tag_prefix", "started_at", "ended_at").agg(F.count(F.lit(1)).alias("times"))
-    met = segments.within(windows, rollup, "tag_prefix", "started_at", "ended_at")
-    keys = ["job_num", "wc_code", "signal_role", "tag_path"]
-    g = met.groupBy(*keys).agg(
-        F.sum(F.col("n") * F.col("times")).alias("samples"), F.sum(F.col("total") * F.col("times")).alias("sv"),
-        F.sum(F.col("n_values") * F.col("times")).alias("nv"), F.min("least").alias("mn"), F.max("most").alias("mx"))
-    return g.select(*keys, "samples",
+    size = input_bytes(th)
+    partials = _by_days(jt, samples) if size is not None and size <= day_bytes else _by_segments(jt, samples)
+    g = partials.groupBy(*SIGNAL_KEYS).agg(
+        F.sum("n").alias("samples"), F.sum("sv").alias("sv"), F.sum("nv").alias("nv"), F.min("mn").alias("mn"), F.max("mx").alias("mx"))
+    return g.select(*SIGNAL_KEYS, "samples",
                     round_mean(F.when(F.col("nv") > 0, F.col("sv") / F.col("nv")), 2).alias("avg_value"),
                     round_half_up(F.col("mn"), 2).alias("min_value"),
                     round_half_up(F.col("mx"), 2).alias("max_value"))

@@ -39,9 +39,8 @@ def _div(x: Column, unit: int) -> Column:
 
 def _segments(unit: int, lo: Column, hi: Column) -> Column:
     """Segments of a length from ``lo`` (in) to ``hi`` (out), both multiples of it."""
-    first, last = _div(lo, unit), _div(hi, unit) - 1
-    found = F.transform(F.sequence(first, F.greatest(first, last)), lambda s: F.struct(F.lit(unit).alias("unit"), s.alias("segment")))
-    return F.when(lo < hi, found).otherwise(F.filter(found, lambda _: F.lit(False)))
+    found = F.transform(F.sequence(_div(lo, unit), _div(hi, unit) - 1), lambda s: F.struct(F.lit(unit).alias("unit"), s.alias("segment")))
+    return F.when(lo < hi, found).otherwise(F.array().cast("array<struct<unit:int,segment:bigint>>"))
 
 
 def cover(start: Column, stop: Column) -> Column:
@@ -65,15 +64,19 @@ def covered(windows: DataFrame, lo: str, hi: str) -> DataFrame:
     """``windows`` once per (unit, segment) of what lies between ``lo`` and ``hi``, both included: whole seconds by
     ``cover``, and unit 0 for the first and last second where they are covered in part. A window with a null end, or
     whose end comes first, has none."""
-    a, b = micros(F.col(lo)), micros(F.col(hi))
-    w = windows.where(F.col(lo) <= F.col(hi)).withColumns({"_a": a, "_b": b})
-    # The last second is whole only if the window reaches its last microsecond.
-    w = w.withColumns({"_start": _div(F.col("_a") + (MICROS - 1), MICROS), "_stop": _div(F.col("_b") + 1, MICROS),
-                       "_first": _div(F.col("_a"), MICROS), "_last": _div(F.col("_b"), MICROS)})
-    ends = F.array(F.when(F.col("_first") < F.col("_start"), F.col("_first")), F.when(F.col("_last") >= F.col("_stop"), F.col("_last")))
-    partial = F.transform(F.array_compact(F.array_distinct(ends)), lambda s: F.struct(F.lit(INSTANT).alias("unit"), s.alias("segment")))
-    every = w.withColumn("_c", F.explode(F.concat(partial, cover(F.col("_start"), F.col("_stop")))))
-    return every.withColumns({"unit": F.col("_c.unit"), "segment": F.col("_c.segment")}).drop("_a", "_b", "_start", "_stop", "_first", "_last", "_c")
+    ends = F.array(F.struct(micros(F.col(lo)).alias("a"), micros(F.col(hi)).alias("b")))
+    # Bound as lambda variables, each is worked out once. The last second is whole only if its last microsecond is in.
+    bounds = F.transform(ends, lambda x: F.struct(
+        _div(x["a"] + (MICROS - 1), MICROS).alias("start"), _div(x["b"] + 1, MICROS).alias("stop"),
+        _div(x["a"], MICROS).alias("first"), _div(x["b"], MICROS).alias("last")))
+
+    def cells(x: Column) -> Column:
+        parts = F.array(F.when(x["first"] < x["start"], x["first"]), F.when(x["last"] >= x["stop"], x["last"]))
+        partial = F.transform(F.array_compact(F.array_distinct(parts)), lambda s: F.struct(F.lit(INSTANT).alias("unit"), s.alias("segment")))
+        return F.concat(partial, cover(x["start"], x["stop"]))
+
+    every = windows.where(F.col(lo) <= F.col(hi)).withColumn("_c", F.explode(F.flatten(F.transform(bounds, cells))))
+    return every.withColumns({"unit": F.col("_c.unit"), "segment": F.col("_c.segment")}).drop("_c")
 
 
 def rolled_up(samples: DataFrame, ts: str, keys: list[str], value: str) -> DataFrame:
