@@ -13,7 +13,7 @@ The filter is broadcast while its size is at most `broadcast_bytes` (its exact s
 collected). Beyond that it stays a table of segments, and each block sends its distinct bigrams to the segments and
 gets their levels back: the same bits are probed, so both ways give the same scores.
 
-Words and bigrams are identified by 64-bit hashes. A null text is the empty text (its one token is the end token);
+Words and bigrams are identified by 64-bit hashes (``word_hashes``). A null text is the empty text (its one token is the end token);
 a null doc_id counts as the empty string where documents are divided. Repeated rows each count.
 """
 
@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .blocks import PAYLOAD_SCHEMA, Block, answers_of, bounds, key_rows, pack, per_block, per_bucket, squeeze, undeltas, unsqueeze, with_answers
-from .common import Rolling, mix, written
+from .common import mix, written
 
 END = np.uint64(0x5851F42D4C957F2D)  # hash of the end token; no word has it but by collision
 BEGIN = np.uint64(0x14057B7EF767814F)
+WORD_SEED = np.uint64(0x8CB92BA72F3D8DD7)
+LENGTH_STEP = np.uint64(0x9E3779B97F4A7C15)
 HASHES = 5
 BITS_PER_EVENT = 9
 BROADCAST_BYTES = 96 << 20
@@ -49,6 +51,19 @@ def held_out(doc_id, folds: int, fold: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == fold
 
 
+def word_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of each word, given the bytes of all words end to end: the sum modulo 2**64 of a mixed value for every
+    (byte, position in its word). No power of a base is involved, so words built to make polynomial hashes modulo
+    2**64 collide (a Thue-Morse word and its complement) differ here."""
+    first = np.cumsum(sizes) - sizes
+    if not len(sizes):
+        return np.empty(0, np.uint64)
+    keys = (np.arange(len(letters), dtype=np.uint64) - np.repeat(first, sizes).astype(np.uint64)) << np.uint64(8)
+    keys |= letters
+    keys += WORD_SEED
+    return mix(np.add.reduceat(mix(keys), first) + sizes.astype(np.uint64) * LENGTH_STEP)
+
+
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes in order, an end token closing each document; tokens of each document)."""
     data = _LOWER[np.frombuffer(block.data, np.uint8)]
@@ -62,8 +77,7 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     after[:-1] = inside[1:]
     after[full[full > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    roll = Rolling(433)
-    h = roll.at(roll.prefix(data), starts, ends) ^ (ends - starts).astype(np.uint64)
+    h = word_hashes(data[inside], ends - starts)
     cut = np.searchsorted(starts, block.ends)
     return np.insert(h, cut, END), np.diff(cut, prepend=0) + 1
 
