@@ -42,26 +42,43 @@ def _minute(c: str = "ts") -> F.Column:
     return F.date_trunc("minute", F.col(c))
 
 
+def chat_requests(t: Tables, *, salt: str = DEFAULT_SALT) -> DataFrame:
+    """Chat requests with their visitor, day and month."""
+    return (visitors(t, salt=salt).where(F.col("channel") == "chat")
+            .withColumn("day", F.col("ts").cast("date")).withColumn("month", F.date_format("ts", "yyyy-MM")))
+
+
+def admit(v: DataFrame, *, daily_cap: int, monthly_cap: int, step: F.Column | None = None,
+          tokens: F.Column | None = None) -> DataFrame:
+    """The admission rule over rows (event_id, ts, day, month, visitor,
+    input_tokens, output_tokens): adds n, blocked, allowed, remaining and
+    month_used_before. ``step`` is what a row adds to its visitor's day (1)
+    and ``tokens`` what it adds to its month while the day's count is within
+    the cap; rows that carry counters over from an earlier batch set both."""
+    step = F.lit(1) if step is None else step
+    tokens = F.col("input_tokens") + F.col("output_tokens") if tokens is None else tokens
+    v = prefix_sum(v, step.cast("bigint"), partition=["day", "visitor"], bucket=_minute(), order=["ts", "event_id"], out="n_all")
+    spent = F.when(F.col("n_all") <= daily_cap, tokens).otherwise(F.lit(0))
+    v = prefix_sum(v, spent.cast("bigint"), partition=["month"], bucket=_minute(), order=["ts", "event_id"],
+                   out="month_used_before", inclusive=False)
+    blocked = F.col("month_used_before") >= monthly_cap
+    n_all = F.col("n_all")
+    return (v.withColumn("n", F.when(blocked, F.lit(None)).otherwise(n_all).cast("bigint"))
+            .withColumn("blocked", blocked)
+            .withColumn("allowed", (~blocked) & (n_all <= daily_cap))
+            .withColumn("remaining", F.when(blocked, F.lit(0)).otherwise(F.greatest(F.lit(0), F.lit(daily_cap) - n_all)).cast("bigint")))
+
+
+DECISION = ("event_id", "ts", "day", "month", "visitor", "input_tokens", "output_tokens", "n", "blocked", "allowed", "remaining")
+
+
 def chat_admission(t: Tables, *, salt: str = DEFAULT_SALT, daily_cap: int = DAILY_CAP,
                    monthly_cap: int = MONTHLY_TOKEN_CAP) -> DataFrame:
     """M02 with the M04 budget check: per chat request its day, visitor,
     position in the day's counter, whether the month was already over
     budget, whether it was allowed, and the questions left."""
-    v = visitors(t, salt=salt).where(F.col("channel") == "chat") \
-        .withColumn("day", F.col("ts").cast("date")).withColumn("month", F.date_format("ts", "yyyy-MM"))
-    v = prefix_count(v, partition=["day", "visitor"], bucket=_minute(), order=["ts", "event_id"], out="n_all")
-    tokens = F.when(F.col("n_all") <= daily_cap, F.col("input_tokens") + F.col("output_tokens")).otherwise(F.lit(0))
-    v = prefix_sum(v, tokens.cast("bigint"), partition=["month"], bucket=_minute(), order=["ts", "event_id"],
-                   out="month_used_before", inclusive=False)
-    blocked = F.col("month_used_before") >= monthly_cap
-    return v.select(
-        "event_id", "ts", "day", "month", "visitor", "input_tokens", "output_tokens",
-        F.when(blocked, F.lit(None)).otherwise(F.col("n_all")).cast("bigint").alias("n"),
-        blocked.alias("blocked"),
-        ((~blocked) & (F.col("n_all") <= daily_cap)).alias("allowed"),
-        F.when(blocked, F.lit(0)).otherwise(F.greatest(F.lit(0), F.lit(daily_cap) - F.col("n_all"))).cast("bigint")
-        .alias("remaining"),
-        "month_used_before")
+    v = admit(chat_requests(t, salt=salt), daily_cap=daily_cap, monthly_cap=monthly_cap)
+    return v.select(*DECISION, "month_used_before")
 
 
 def daily_admission(t: Tables, **kw) -> DataFrame:

@@ -78,7 +78,7 @@ def _counter(cap: int):
 def daily_admission_stream(events: DataFrame, *, channel: str = "chat", cap: int = DAILY_CAP,
                            salt: str = DEFAULT_SALT, watermark: str = "1 hour") -> DataFrame:
     """Per request, its position in the (day, visitor) counter and the
-    admission decision (the monthly token budget is the batch M04's job)."""
+    admission decision of a channel without a token budget (``streaming.admission`` has both)."""
     v = (events.where(F.col("channel") == channel)
          .withColumn("ts", F.col("ts").cast("timestamp"))
          .withColumn("visitor", visitor_hash(F.col("x_forwarded_for"), F.col("x_real_ip"), salt))
