@@ -21,9 +21,13 @@ from castwork.functions.exprs import (
 from castwork.operators import bridges
 from castwork.operators.jobs import bottleneck, js_num, unplanned_downtime
 from castwork.operators.joins import prefix_join
+from castwork.operators.windows import SPLIT_BYTES, input_bytes
+from castwork.session import ensure_checkpoint_dir
 from castwork.sources.tables import Tables
 
 SEVERITY_RANK = {"critical": 0, "warning": 1, "watch": 2}
+# Days of labour that a standard is judged by.
+STANDARD_DAYS = 270
 DETECTORS = ("scrap", "downtime", "eff", "standard", "recon")
 
 
@@ -95,22 +99,29 @@ def downtime_spikes(t: Tables, *, as_of: dt.date, recent_days: int = 21, base_da
 # ---------------------------------------------------------------------------
 # D03
 # ---------------------------------------------------------------------------
-def _op_rows(t: Tables) -> DataFrame:
-    """Per (job, op) with production hours: wc, min shift, est, act, start."""
+def operation_runs(t: Tables, *, crew_since: Column | None = None) -> DataFrame:
+    """Per (job, op) with production hours, from one aggregate of its labour:
+    wc, min shift, first clock-in, estimates and actuals, and the labour rows
+    and distinct operators (``crew``, bounded by the people who work on one
+    operation) that clocked in from ``crew_since`` on."""
     jo = t.job_oper.where((F.col("est_prod_hrs") > 0) & (F.col("act_prod_hrs") > 0))
-    lab = t.labor_dtl.groupBy("job_num", "oper_seq").agg(F.min("shift").alias("shift"),
-                                                         F.min("clock_in").alias("started"))
+    now = F.lit(True) if crew_since is None else F.col("clock_in") >= crew_since
+    lab = t.labor_dtl.groupBy("job_num", "oper_seq").agg(
+        F.min("shift").alias("shift"), F.min("clock_in").alias("started"), F.count_if(now).alias("crew_rows"),
+        F.collect_set(F.when(now, F.col("employee_num"))).alias("crew"))
     return jo.join(lab, ["job_num", "oper_seq"]).select(
-        "job_num", "oper_seq", "wc_code", "shift",
+        "job_num", "oper_seq", "wc_code", "shift", "started", "est_setup_hrs", "est_prod_hrs", "act_setup_hrs", "act_prod_hrs",
         (F.col("est_setup_hrs") + F.col("est_prod_hrs")).alias("est"),
-        (F.col("act_setup_hrs") + F.col("act_prod_hrs")).alias("act"), "started")
+        (F.col("act_setup_hrs") + F.col("act_prod_hrs")).alias("act"), "crew_rows", "crew")
 
 
-def efficiency_drift(t: Tables, *, as_of: dt.date, recent_days: int = 60, min_recent_ops: int = 5) -> DataFrame:
+def efficiency_drift(t: Tables, *, as_of: dt.date, recent_days: int = 60, min_recent_ops: int = 5,
+                     runs: DataFrame | None = None) -> DataFrame:
     """actual/estimate per (work centre, shift), last ``recent_days``
     against earlier. Flag when recent > 1.08 and recent - base > 0.08 (a
-    missing base counts as 0); 20 % or more over is a warning."""
-    o = _op_rows(t)
+    missing base counts as 0); 20 % or more over is a warning. ``runs``:
+    ``operation_runs`` where it has been computed already."""
+    o = operation_runs(t) if runs is None else runs
     recent = F.col("started") >= midnight_minus_days(as_of, recent_days)
     g = o.groupBy("wc_code", "shift").agg(
         F.sum(F.when(recent, F.col("act"))).alias("ra"), F.sum(F.when(recent, F.col("est"))).alias("re"),
@@ -130,16 +141,22 @@ def efficiency_drift(t: Tables, *, as_of: dt.date, recent_days: int = 60, min_re
 # ---------------------------------------------------------------------------
 # D04
 # ---------------------------------------------------------------------------
-def wrong_standards(t: Tables, *, as_of: dt.date, days: int = 270, min_runs: int = 8, min_ratio: float = 1.15,
-                    min_share: float = 0.7, per_job: bool = False) -> DataFrame:
+def wrong_standards(t: Tables, *, as_of: dt.date, days: int = STANDARD_DAYS, min_runs: int = 8, min_ratio: float = 1.15,
+                    min_share: float = 0.7, per_job: bool = False, operations: DataFrame | None = None) -> DataFrame:
     """Per (part, operation), runs over standard across many jobs and
     operators. Operation rows are grouped by (part, seq, wc, est, act) with
     their distinct operators - the job is not in the key, so identical runs
     collapse (``per_job=True`` keeps them apart). Flag when at least
-    ``min_runs`` runs, ratio > 1.15 and more than 70 % of runs over 1.1x."""
-    jo = t.job_oper.where((F.col("est_prod_hrs") > 0) & (F.col("act_prod_hrs") > 0))
-    ld = t.labor_dtl.where(F.col("clock_in") >= midnight_minus_days(as_of, days)).select("job_num", "oper_seq", "employee_num")
-    rows = jo.join(ld, ["job_num", "oper_seq"]).join(t.job_head.select("job_num", "part_num"), "job_num")
+    ``min_runs`` runs, ratio > 1.15 and more than 70 % of runs over 1.1x.
+    ``operations``: ``operation_runs`` with the crew since ``days`` ago where
+    it has been computed already."""
+    if operations is None:
+        jo = t.job_oper.where((F.col("est_prod_hrs") > 0) & (F.col("act_prod_hrs") > 0))
+        ld = t.labor_dtl.where(F.col("clock_in") >= midnight_minus_days(as_of, days)).select("job_num", "oper_seq", "employee_num")
+        worked = jo.join(ld, ["job_num", "oper_seq"])
+    else:
+        worked = operations.where(F.col("crew_rows") > 0).withColumn("employee_num", F.explode_outer("crew"))
+    rows = worked.join(t.job_head.select("job_num", "part_num"), "job_num")
     keys = ["part_num", "oper_seq", "wc_code", "est_setup_hrs", "est_prod_hrs", "act_setup_hrs", "act_prod_hrs"]
     if per_job:
         keys.append("job_num")
@@ -207,9 +224,17 @@ def _fmt(key: str, *cols: Column) -> Column:
     return F.format_string(FINDING_TEXT[key], *cols)
 
 
-def findings(t: Tables, *, as_of: dt.date, top: int = 8) -> DataFrame:
+def findings(t: Tables, *, as_of: dt.date, top: int = 8, share_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Flagged rows of D01-D05 in one shape, ordered by severity, then
-    detector, then the detector's own order; the first ``top``."""
+    detector, then the detector's own order; the first ``top``. D03 and D04
+    read the same operations with their labour: where the labour's files are
+    over ``share_bytes`` these meet once and are checkpointed (a job that runs
+    while the frame is built); below, two scans cost less than the table."""
+    size, runs = input_bytes(t.labor_dtl), None
+    if size is None or size > share_bytes:
+        ensure_checkpoint_dir(t.job_oper.sparkSession)
+        runs = operation_runs(t, crew_since=midnight_minus_days(as_of, STANDARD_DAYS)).checkpoint()
+
     def shape(df: DataFrame, det: int, order: Column, fid: Column, title: Column, detail: Column,
               sources: str, ask: Column) -> DataFrame:
         return df.select(F.lit(det).alias("detector"), order.alias("det_order"), fid.alias("id"),
@@ -231,13 +256,13 @@ def findings(t: Tables, *, as_of: dt.date, top: int = 8) -> DataFrame:
                _fmt("downtime_detail", js_num(c("recent_hrs")), c("events"), js_num(c("recent_rate")), js_num(base0),
                     ratio_txt),
                "historian,xref", _fmt("downtime_ask", c("wc_code")))
-    e = efficiency_drift(t, as_of=as_of).where("flagged")
+    e = efficiency_drift(t, as_of=as_of, runs=runs).where("flagged")
     over = round_half_up((c("recent_ratio") - 1) * 100, 1)
     base_over = round_half_up((F.coalesce(c("base_ratio"), F.lit(0.0)) - 1) * 100, 1)
     f3 = shape(e, 2, F.lit(0.0), _fmt("eff_id", c("wc_code"), c("shift")), _fmt("eff_title", c("shift"), c("wc_code")),
                _fmt("eff_detail", js_num(over), c("recent_ops"), js_num(base_over)),
                "erp", _fmt("eff_ask", c("shift"), c("wc_code")))
-    w = wrong_standards(t, as_of=as_of).where("flagged")
+    w = wrong_standards(t, as_of=as_of, operations=runs).where("flagged")
     w = w.orderBy(F.desc("ratio"), "part_num", "oper_seq").limit(2)
     over4 = round_half_up((c("ratio") - 1) * 100, 1)
     f4 = shape(w, 3, -c("ratio"), _fmt("standard_id", c("part_num"), c("oper_seq")),

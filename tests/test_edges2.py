@@ -146,3 +146,42 @@ def test_page_edges(bound):
     first = [r["job_num"] for r in catalog.page(bound, "job_head", limit=3).collect()]
     after = [r["job_num"] for r in catalog.page_after(bound, "job_head", (first[0],), limit=2).collect()]
     assert after == first[1:]
+
+
+def test_findings_share_one_aggregate_of_labour(bound):
+    """D03 and D04 from one checkpointed aggregate of the labour give the rows of the two separate plans."""
+    from castwork.functions.exprs import midnight_minus_days
+    from castwork.operators import anomalies
+
+    def same(a, b):
+        return sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+    runs = anomalies.operation_runs(bound, crew_since=midnight_minus_days(AS_OF, anomalies.STANDARD_DAYS)).checkpoint()
+    assert same(anomalies.efficiency_drift(bound, as_of=AS_OF, runs=runs), anomalies.efficiency_drift(bound, as_of=AS_OF))
+    for per_job in (False, True):
+        assert same(anomalies.wrong_standards(bound, as_of=AS_OF, operations=runs, per_job=per_job),
+                    anomalies.wrong_standards(bound, as_of=AS_OF, per_job=per_job))
+    once = anomalies.findings(bound, as_of=AS_OF, share_bytes=-1)
+    assert same(once, anomalies.findings(bound, as_of=AS_OF))
+    # The labour is read by the checkpointed job only.
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "clock_in" not in plan and "employee_num" in plan
+
+
+def test_labour_without_an_employee_still_counts_as_a_run(make_tables):
+    from castwork.functions.exprs import midnight_minus_days
+    from castwork.operators import anomalies
+    import datetime as dt
+    from decimal import Decimal as D
+
+    jobs = [dict(job_num=f"{n:06d}", part_num="P-1") for n in range(1, 10)]
+    ops = [dict(job_num=j["job_num"], oper_seq=10, wc_code="W", est_setup_hrs=D(0), est_prod_hrs=D(1), act_setup_hrs=D(0),
+                act_prod_hrs=D(2) + D(i) / 100) for i, j in enumerate(jobs)]
+    at = dt.datetime.combine(AS_OF, dt.time()) - dt.timedelta(days=3)
+    labour = [dict(job_num=j["job_num"], oper_seq=10, shift=1, clock_in=at, employee_num=e) for j in jobs[:8] for e in ((None,) if j["job_num"] == "000001" else ("E-1", "E-2", "E-2"))]
+    labour.append(dict(job_num="000009", oper_seq=10, shift=1, clock_in=at - dt.timedelta(days=400), employee_num="E-1"))
+    t = make_tables(job_head=jobs, job_oper=ops, labor_dtl=labour)
+    runs = anomalies.operation_runs(t, crew_since=midnight_minus_days(AS_OF, anomalies.STANDARD_DAYS))
+    one = anomalies.wrong_standards(t, as_of=AS_OF).collect()
+    assert one == anomalies.wrong_standards(t, as_of=AS_OF, operations=runs).collect()
+    assert [(r.jobs, r.operator_touches, r.flagged) for r in one] == [(8, 14, True)]
