@@ -35,6 +35,11 @@ from castwork.operators.ranks import ROW_BITS
 
 # Bytes of input below which all rows of one bucket fit a task.
 SPLIT_BYTES = 256 << 20
+# Bytes of input for each part of ``spread``, and those up to which it leaves rows as they are.
+TASK_BYTES = 8 << 20
+SPREAD_FROM = 32 << 20
+# What Catalyst states for a source of unknown size is above this.
+UNKNOWN_BYTES = 1 << 50
 
 
 def input_bytes(df: DataFrame) -> int | None:
@@ -42,11 +47,25 @@ def input_bytes(df: DataFrame) -> int | None:
     A source of unknown size counts as a very large one."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # noqa: BLE001 - a remote session has no plan here
         return None
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hash-partitioned on ``keys`` into one part for each ``TASK_BYTES`` of the sources it reads, at least
+    ``spark.sql.shuffle.partitions``; unchanged where those are small.
+
+    Left to itself, AQE merges the parts of an exchange up to 64 MB as compressed, and columns of repeating names and
+    numbers are many times that in the sorts and hash tables of a task. Parts of a stated number are not merged, so
+    what one task holds does not grow with the input. Joins and groups on ``keys`` that follow add no exchange."""
+    size = input_bytes(df)
+    if size is None or size <= SPREAD_FROM:
+        return df
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(least if size >= UNKNOWN_BYTES else max(least, size // TASK_BYTES), *keys)
+
+
 def prefix_sum(df: DataFrame, value: Column, *, partition: list[str], bucket: Column,
                order: list[str | Column], out: str, inclusive: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Add ``out`` = running sum of ``value`` within ``partition`` in ``order``
