@@ -64,6 +64,27 @@ def _pattern_windows(t: Tables) -> DataFrame:
     return t.job_head.select("job_num", "part_num").join(mapped, "part_num").join(job_window(t), "job_num")
 
 
+def heats_of_jobs(t: Tables, heats: DataFrame) -> DataFrame:
+    """Rows of ``heats`` once per job that has the heat in B04: job_num, then the columns of ``heats``.
+
+    A pour knows the one before it of its pattern and heat, so of a heat's pours in a window only the first makes a
+    pair, and the pairs of a job with one window need no distinct. Those of a job with several patterns (or rows) do."""
+    poured = t.pour_record.select("pattern_code", "heat_num", "poured_at").where(F.col("poured_at").isNotNull()).distinct()
+    in_time = Window.partitionBy("pattern_code", "heat_num").orderBy("poured_at")
+    pours = poured.withColumn("_earlier", F.lag("poured_at").over(in_time)).join(heats.withColumnRenamed("poured_at", "_melted_at"), "heat_num")
+    windows = _pattern_windows(t).withColumn("_windows", F.count(F.lit(1)).over(Window.partitionBy("job_num")))
+    first = F.col("_earlier").isNull() | (F.col("_earlier") < F.col("started_at"))
+
+    def met(w: DataFrame, p: DataFrame) -> DataFrame:
+        return range_join(w.select("job_num", "pattern_code", "started_at", "ended_at"), p, key="pattern_code", lo="started_at", hi="ended_at", t="poured_at").where(first)
+
+    once = met(windows.where(F.col("_windows") == 1), pours).withColumn("poured_at", F.col("_melted_at"))
+    named = pours.select("pattern_code", "heat_num", "poured_at", "_earlier").distinct()
+    several = met(windows.where(F.col("_windows") > 1), named).select("job_num", "heat_num").distinct().join(heats, "heat_num")
+    cols = ["job_num", *heats.columns]
+    return once.select(*cols).unionByName(several.select(*cols))
+
+
 def job_heat_sizes(t: Tables) -> DataFrame:
     """How many rows of B04 each (job, part, pattern) has, without building them: the pours of a pattern are rolled
     up into time segments, and a job's window meets the few that cover it. Only windows with pours are returned."""

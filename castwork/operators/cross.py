@@ -25,10 +25,9 @@ from castwork.sources.tables import Tables
 def job_heats(t: Tables) -> DataFrame:
     """T09 heats: per job, the distinct heats that poured its pattern inside
     its window, with the melt record and yield % (1 dp)."""
-    jh = bridges.job_heat(t).select("job_num", "heat_num").distinct()
     h = t.heat.select("heat_num", "furnace_id", "alloy_spec", "poured_at", "degas_minutes", "rpt_density",
                       "lbs_charged", "lbs_poured", "lbs_returns")
-    return jh.join(h, "heat_num").select(
+    return bridges.heats_of_jobs(t, h).select(
         "job_num", "heat_num", "furnace_id", "alloy_spec", "poured_at",
         *[F.col(c).cast("double").alias(c) for c in ("degas_minutes", "rpt_density", "lbs_charged", "lbs_poured", "lbs_returns")],
         F.when(F.col("lbs_charged") != 0, round_half_up(
@@ -44,13 +43,13 @@ def heat_summary(t: Tables, *, as_of: dt.date, baseline_days: int = 90) -> DataF
     per = heats.groupBy("job_num").agg(
         F.count(F.lit(1)).alias("heat_count"),
         F.sum("degas_minutes").alias("ds"), F.count("degas_minutes").alias("dn"),
-        F.countDistinct("furnace_id").alias("furnaces"), F.min("furnace_id").alias("furnace_id"))
+        F.min("furnace_id").alias("furnace_id"), F.max("furnace_id").alias("other_furnace"))
     base = (t.heat.where(F.col("poured_at") < midnight_minus_days(as_of, baseline_days))
             .groupBy("furnace_id").agg(F.sum("degas_minutes").alias("bd"), F.count("degas_minutes").alias("bdn"),
                                        F.sum("rpt_density").alias("br"), F.count("rpt_density").alias("brn")))
     jp = bridges.job_pattern(t)
     out = (jp.join(per, "job_num", "left").join(small(base), "furnace_id", "left"))
-    one = F.col("furnaces") == 1
+    one = F.col("furnace_id") == F.col("other_furnace")
     return out.select(
         "job_num", "part_num", "pattern_code",
         F.coalesce(F.col("heat_count"), F.lit(0)).cast("bigint").alias("heat_count"),

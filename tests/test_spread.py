@@ -1,7 +1,7 @@
 """Parts that grow in number and not in size: sizes by Catalyst, spread rows, scrap's few reasons, heats met once."""
 
 from castwork.functions.exprs import small
-from castwork.operators import jobs, windows
+from castwork.operators import bridges, cross, jobs, windows
 
 
 def plan(df):
@@ -24,3 +24,14 @@ def test_spread_states_its_parts(bound, monkeypatch):
 
 def test_scrap_is_not_shuffled_by_its_few_reasons(bound):
     assert "hashpartitioning(reason_code" not in plan(jobs.job_scrap_by_reason(bound))
+
+
+def test_heats_of_jobs_equal_the_distinct_pairs(bound):
+    heats = bound.heat.select("heat_num", "furnace_id", "poured_at")
+    plain = bridges.job_heat(bound).select("job_num", "heat_num").distinct().join(heats, "heat_num")
+    got = bridges.heats_of_jobs(bound, heats)
+    assert got.columns == ["job_num", "heat_num", "furnace_id", "poured_at"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.select(*got.columns).collect()))
+    # Pairs of jobs with one window are made once, without a distinct over all of them.
+    aggregated = plan(cross.job_heats(bound)).count("keys=[job_num#")
+    assert aggregated and bridges._pattern_windows(bound).groupBy("job_num").count().where("count > 1").count() > 0
