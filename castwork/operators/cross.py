@@ -18,7 +18,7 @@ from castwork.functions.exprs import (
 )
 from castwork.operators import bridges, segments
 from castwork.operators.joins import day_span, path_prefixes
-from castwork.operators.windows import SPLIT_BYTES, input_bytes
+from castwork.operators.windows import input_bytes, spread
 from castwork.sources.tables import Tables
 
 
@@ -58,12 +58,16 @@ def heat_summary(t: Tables, *, as_of: dt.date, baseline_days: int = 90) -> DataF
         F.when(one & (F.col("brn") > 0), round_half_up(F.col("br").cast("double") / F.col("brn"), 3)).alias("baseline_rpt_density"))
 
 
-def _job_tags(t: Tables) -> DataFrame:
-    """(job, wc, role, prefix, window) for every operation of every job:
-    one row per operation, so two operations on one centre count twice."""
+def _job_tags(t: Tables, times: DataFrame) -> DataFrame:
+    """(job, wc, role, prefix, window) for every operation of every job whose window meets the span of ``times``, a
+    column of instants: one row per operation, so two operations on one centre count twice. The windows before and
+    after all of ``times``, which would meet nothing, are left out before operations join them."""
+    span = times.toDF("_t").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))  # one row
+    windows = (bridges.job_window(t).join(F.broadcast(span), (F.col("ended_at") >= F.col("_first")) & (F.col("started_at") <= F.col("_last")))
+               .drop("_first", "_last"))
     return (t.job_oper.select("job_num", "wc_code")
             .join(small(t.wc_tag.select("wc_code", "tag_prefix", "signal_role")), "wc_code")
-            .join(bridges.job_window(t), "job_num"))
+            .join(windows, "job_num"))
 
 
 def _bridged(df: DataFrame, t: Tables) -> DataFrame:
@@ -102,9 +106,11 @@ def _by_days(jt: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 SIGNAL_KEYS = ("job_num", "wc_code", "signal_role", "tag_path")
+# Bytes of historian up to which windows meet the samples of their first and last day: such pairs grow with the product.
+DAY_BYTES = 4 << 20
 
 
-def machine_signal(t: Tables, *, signal_role: str | None = None, good_only: bool = False, day_bytes: int = SPLIT_BYTES) -> DataFrame:
+def machine_signal(t: Tables, *, signal_role: str | None = None, good_only: bool = False, day_bytes: int = DAY_BYTES) -> DataFrame:
     """Per (job, wc, role, tag) the historian samples inside the job's
     window: count, mean, min, max (2 dp). Quality is not filtered unless
     ``good_only`` (192 = good).
@@ -114,12 +120,12 @@ def machine_signal(t: Tables, *, signal_role: str | None = None, good_only: bool
     a day holds few samples, and its edge days meet those, which costs less
     than working out covers. Both are exact.
     """
-    jt = _job_tags(t)
-    if signal_role is not None:
-        jt = jt.where(F.col("signal_role") == signal_role)
     th = t.tag_history
     if good_only:
         th = th.where(F.col("quality") == 192)
+    jt = _job_tags(t, th.select("ts"))
+    if signal_role is not None:
+        jt = jt.where(F.col("signal_role") == signal_role)
     samples = _bridged(th.select("tag_path", "ts", "value_float"), t)
     size = input_bytes(th)
     partials = _by_days(jt, samples) if size is not None and size <= day_bytes else _by_segments(jt, samples)
@@ -134,16 +140,17 @@ def machine_signal(t: Tables, *, signal_role: str | None = None, good_only: bool
 def machine_downtime(t: Tables) -> DataFrame:
     """Downtime events on the job's centres that started inside its
     window (no reason filter); open events have NULL hours."""
-    jt = _job_tags(t).withColumn("_day", F.explode(day_span(F.col("started_at"), F.col("ended_at"))))
+    jt = _job_tags(t, t.downtime_event.select("started_at")).withColumn("_day", F.explode(day_span(F.col("started_at"), F.col("ended_at"))))
+    jt = spread(jt.drop("signal_role"), "tag_prefix", "_day")  # parts of what is read may be small, their pairs are not
     de = _bridged(t.downtime_event.select(
-        "tag_path", F.col("started_at").alias("ev_start"), F.col("ended_at").alias("ev_end"), "reason_text"), t) \
+        "tag_path", F.col("started_at").alias("ev_start"), F.col("ended_at").alias("ev_end"), "reason_text",
+        round_half_up(hours_between(F.col("started_at"), F.col("ended_at")), 2).alias("down_hrs")), t) \
         .withColumn("_day", F.col("ev_start").cast("date"))
     pairs = jt.join(de, ["tag_prefix", "_day"]).where(
         (F.col("ev_start") >= F.col("started_at")) & (F.col("ev_start") <= F.col("ended_at")))
     return pairs.select("job_num", "wc_code", "tag_path", F.col("ev_start").alias("started_at"),
                         F.col("ev_end").alias("ended_at"),
-                        round_half_up(hours_between(F.col("ev_start"), F.col("ev_end")), 2).alias("down_hrs"),
-                        "reason_text")
+                        "down_hrs", "reason_text")
 
 
 def customer_commitments(t: Tables, *, as_of: dt.date, open_only: bool = True, status: str | None = None,

@@ -1,5 +1,9 @@
 """Parts that grow in number and not in size: sizes by Catalyst, spread rows, scrap's few reasons, heats met once."""
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
 from castwork.functions.exprs import small
 from castwork.operators import bridges, cross, jobs, windows
 
@@ -35,3 +39,13 @@ def test_heats_of_jobs_equal_the_distinct_pairs(bound):
     # Pairs of jobs with one window are made once, without a distinct over all of them.
     aggregated = plan(cross.job_heats(bound)).count("keys=[job_num#")
     assert aggregated and bridges._pattern_windows(bound).groupBy("job_num").count().where("count > 1").count() > 0
+
+
+def test_windows_beyond_the_historian_are_left_out_before_operations(bound):
+    times = bound.tag_history.select("ts")
+    first, last = times.agg(F.min("ts"), F.max("ts")).first()
+    kept = cross._job_tags(bound, times)
+    every = bound.job_oper.join(bound.wc_tag, "wc_code").join(bridges.job_window(bound), "job_num")
+    meet = every.where((F.col("ended_at") >= F.lit(first)) & (F.col("started_at") <= F.lit(last)))
+    assert kept.count() == meet.count() < every.count()
+    assert cross._job_tags(bound, times.where(F.col("ts") < F.lit(dt.datetime(1900, 1, 1)))).count() == 0
