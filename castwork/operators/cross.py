@@ -62,9 +62,8 @@ def _job_tags(t: Tables, times: DataFrame) -> DataFrame:
     """(job, wc, role, prefix, window) for every operation of every job whose window meets the span of ``times``, a
     column of instants: one row per operation, so two operations on one centre count twice. The windows before and
     after all of ``times``, which would meet nothing, are left out before operations join them."""
-    span = times.toDF("_t").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))  # one row
-    windows = (bridges.job_window(t).join(F.broadcast(span), (F.col("ended_at") >= F.col("_first")) & (F.col("started_at") <= F.col("_last")))
-               .drop("_first", "_last"))
+    span = times.toDF("_t")
+    windows = bridges.job_window(t).where((F.col("ended_at") >= span.agg(F.min("_t")).scalar()) & (F.col("started_at") <= span.agg(F.max("_t")).scalar()))
     return (t.job_oper.select("job_num", "wc_code")
             .join(small(t.wc_tag.select("wc_code", "tag_prefix", "signal_role")), "wc_code")
             .join(windows, "job_num"))
