@@ -17,6 +17,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,13 @@ from .common import ship, slices, trim
 
 CACHE_WORDS = 400_000
 TOGETHER = 256
-TEXT_AT_ONCE = 3 << 20
+TEXT_AT_ONCE = 6 << 20
 #: Trailing marks that never join with a letter before them.
-MARKS = ",.;:!?"
+MARKS = ",.;:!?#$%&*)]}\""
+#: Latin letters are below; what any table of letters knows as such, however old.
+LATIN_END = "\u0250"
+#: Every letter behind every other: what leaves this whole and as it is does so with any word of these letters up to its length.
+PAIRS = "".join(a + b for a in ascii_lowercase for b in ascii_lowercase)
 
 
 class WordIds:
@@ -39,11 +44,12 @@ class WordIds:
 
     For tokenizers that fold case and drop white space between words: nothing they do looks across it. Words of
     letters alone are one pre-token each, so many are encoded in one call and told apart by their end-of-word ids.
+    Where the tokenizer's steps before its model leave words of a to z as they are, these go to the model by spaces only.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         t = self.tokenizer = Tokenizer.from_file(path)
         t.no_truncation()
@@ -52,15 +58,21 @@ class WordIds:
         self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.special = {x.content[:2] for x in t.get_added_tokens_decoder().values()}
+        self.by_spaces = None
+        folded = t.normalizer.normalize_str(PAIRS) if t.normalizer else PAIRS
+        if t.pre_tokenizer and folded == PAIRS and [w for w, _ in t.pre_tokenizer.pre_tokenize_str(PAIRS)] == [PAIRS]:
+            self.by_spaces = Tokenizer(t.model)
+            self.by_spaces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known: dict[str, bytes] = {"": b""}
 
     def _single(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
+    def _letters(self, words: list[str], by_spaces: bool = False) -> list[bytes]:
         out: list[bytes] = []
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        tokenizer = self.by_spaces if by_spaces and self.by_spaces else self.tokenizer
+        for g, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
             if len(ends) == len(g) and ends[-1] == len(ids):
@@ -71,18 +83,29 @@ class WordIds:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        known, stems = self.known, [w.rstrip(MARKS) for w in new]
-        letters, marks, other, marked = {}, {}, [], []
-        for w, stem in zip(new, stems, strict=True):
+        known = self.known
+        spelt = pa.array(new, pa.string())
+        trimmed = pc.utf8_rtrim(spelt, MARKS)
+        plain = pc.ascii_is_alpha(trimmed).to_numpy(zero_copy_only=False)
+        ends_in_mark = plain & pc.not_equal(trimmed, spelt).to_numpy(zero_copy_only=False)
+        stems = trimmed.to_numpy(zero_copy_only=False)
+        marked = [(new[i], stems[i]) for i in np.flatnonzero(ends_in_mark).tolist()]
+        letters, other = {}, []
+        for i in np.flatnonzero(~plain).tolist():
+            w, stem = new[i], stems[i]
+            if w.isalpha():
+                letters[w] = None
             # A letter whose normal form ends in a mark (as that of İ does) would join the marks behind it.
-            if not (stem.isascii() and stem.isalpha() or (w == stem and stem.isalpha())):
-                other.append(w)
-            else:
+            elif stem.isalpha() and max(stem) < LATIN_END and stem.lower().isalpha():
                 letters[stem] = None
-                if len(stem) < len(w):
-                    marks[w[len(stem) :]] = None
-                    marked.append((w, stem))
-        for words, encode in ((letters, self._letters), (marks, self._single), (other, self._single)):
+                marked.append((w, stem))
+            else:
+                other.append(w)
+        marks = dict.fromkeys(w[len(stem) :] for w, stem in marked)
+        ascii_words = dict.fromkeys(stems[plain].tolist())
+        short = [w for w in ascii_words if len(w) <= len(PAIRS)]
+        letters |= dict.fromkeys(w for w in ascii_words if len(w) > len(PAIRS))
+        for words, encode in ((short, lambda x: self._letters(x, by_spaces=True)), (letters, self._letters), (marks, self._single), (other, self._single)):
             unmet = [w for w in words if w not in known]
             known.update(zip(unmet, encode(unmet), strict=True))
         for w, stem in marked:
@@ -96,7 +119,7 @@ class WordIds:
             odd |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(odd), "", texts)))
         coded = pc.list_flatten(lists).dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         self._learn([w for w in words if w not in self.known])

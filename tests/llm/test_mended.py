@@ -34,6 +34,28 @@ def test_word_ids_equal_the_library_on_letters_that_take_marks():
         assert words(pa.array(part)) == want
 
 
+def test_words_with_marks_behind_them_are_encoded_together():
+    """Letters, also beyond ASCII, are encoded many at once and marks behind them once each, with the library's ids."""
+    path = P.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZßäöüéèñçÉÑ"
+    marks = ["", ".", "###", "$$$", "%%%", "&&&", ",***", ")", '"', "]}", "!?"]
+    odd = ["İ.", "ŉ,", "don't", "we'll.", "dogs'", "'s", "a'st", "x_y", "3rd", "½", "ǆ!", "ⅷ.", "e\u0301,", "e,\u0301", "\u0958.", "한국어.", "слово,", "Ⱥ.", "ɐ.", "q" * 3000 + "!", "(a)", "#", "!!!", "ª.", "µ,", "ſ."]
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 9))) + rng.choice(marks) for _ in range(40)) for _ in range(100)]
+    words, alone = packing.WordIds(path), []
+    encode = words._single
+    words._single = lambda x: alone.extend(x) or encode(x)
+    for part in (texts, [" ".join(rng.choices(odd, k=30)) for _ in range(200)] + odd, texts):
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(part, add_special_tokens=False)]
+        assert words(pa.array(part)) == want
+        if part is texts:
+            assert not any(c.isalpha() for w in alone for c in w)
+        alone.clear()
+
+
 def test_one_row_of_a_group_stays_by_all_columns(spark):
     text = "the same words in every row of this small group"
     rows = [(1, text, "fr", "b"), (1, text, "en", None), (1, text, None, "en"), (1, text, "en", "a"), (1, text, "en", "a"), (2, text, "de", "c"), (3, "another text altogether here", "xx", None)]
