@@ -19,10 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, shared_dir, ship, text_bytes, trim
+from .common import bucket_count, shared_dir, ship, text_bytes, trim, written
 
 BLOCK_BYTES = 2 << 20
 
+#: Buckets (sized for 4 MB of text each) whose answers one task writes.
+BUCKETS_A_FILE = 4
+
 BLOCK_SCHEMA = "block bigint, n int, lens binary, data binary, rest binary"
 PAYLOAD_SCHEMA = "bucket int, block bigint, n int, payload binary"
 ANSWER_SCHEMA = "block bigint, bucket int, answer binary"
@@ -153,6 +156,12 @@ def with_answers(blocks: DataFrame, **answers: DataFrame) -> DataFrame:
     return blocks
 
 
+def written_answers(answers: DataFrame, n_buckets: int, name: str) -> DataFrame:
+    """The answers written by a task for each BUCKETS_A_FILE buckets at most, however many the shuffle partitions:
+    answers are small, and where Hadoop has no native library each file starts processes beside the executor."""
+    return written(answers.coalesce(-(-n_buckets // BUCKETS_A_FILE)), name)
+
+
 def answers_of(row: dict, name: str) -> list[bytes]:
     return [x["answer"] for x in row[name] or []]
 

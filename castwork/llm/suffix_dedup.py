@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .blocks import (PAYLOAD_SCHEMA, Block, answers_of, key_rows, pack, per_block, per_bucket, undeltas, unsqueeze,
-                     with_answers)
-from .common import Rolling, written
+                     with_answers, written_answers)
+from .common import Rolling
 
 #: A perfect difference set modulo 133 (every residue is a difference of two members).
 COVER_PERIOD = 133
@@ -180,7 +180,7 @@ def _decide(docs: DataFrame, length: int, period: int, cover: tuple[int, ...], f
         keys, inverse = p.short_keys()
         yield key_rows(b.id, n_buckets, keys, (np.bincount(inverse, minlength=len(keys)) > 1).astype(np.uint8))
 
-    short = written(per_bucket(per_block(blocks, cover_sample, PAYLOAD_SCHEMA), _short_ties), "short")
+    short = written_answers(per_bucket(per_block(blocks, cover_sample, PAYLOAD_SCHEMA), _short_ties), n_buckets, "short")
 
     def ranked(b: Block, row: dict) -> Iterator[pa.RecordBatch]:
         p = _Pass(b, length, period, cover)
@@ -188,7 +188,7 @@ def _decide(docs: DataFrame, length: int, period: int, cover: tuple[int, ...], f
         keys, low, _, _, counts = p.keyed(p.long_at(), p.long)
         yield key_rows(b.id, n_buckets, keys, low, (counts > 1).astype(np.uint8))
 
-    long = written(per_bucket(per_block(with_answers(blocks, short=short), ranked, PAYLOAD_SCHEMA), _long_ties), "long")
+    long = written_answers(per_bucket(per_block(with_answers(blocks, short=short), ranked, PAYLOAD_SCHEMA), _long_ties), n_buckets, "long")
 
     def suffixes(p: _Pass, row: dict) -> tuple[np.ndarray, np.ndarray]:
         p.tied(answers_of(row, "short"))
@@ -201,7 +201,7 @@ def _decide(docs: DataFrame, length: int, period: int, cover: tuple[int, ...], f
         keys, low, _, _, counts = p.keyed(at, length)
         yield key_rows(b.id, n_buckets, keys, low, (counts > 1).astype(np.uint8))
 
-    own = written(per_bucket(per_block(with_answers(blocks, short=short, long=long), left, PAYLOAD_SCHEMA), _long_ties), "own")
+    own = written_answers(per_bucket(per_block(with_answers(blocks, short=short, long=long), left, PAYLOAD_SCHEMA), _long_ties), n_buckets, "own")
 
     def last(b: Block, row: dict) -> Iterator[pa.RecordBatch]:
         p = _Pass(b, length, period, cover)

@@ -489,6 +489,30 @@ def test_suffix_dedup_of_random_strings(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(_suffix_brute(texts, 200))
 
 
+def test_suffix_dedup_writes_few_files_of_answers(spark, tmp_path, monkeypatch):
+    """Files of answers go by the buckets, not by the shuffle partitions: each file starts processes on an executor."""
+    from castwork.llm import blocks, common
+
+    rng = np.random.default_rng(10)
+    again = "".join(rng.choice(list("abcd "), 600))
+    texts = [(i, "".join(rng.choice(list("abcd "), 500)) + again * (i % 3 == 0)) for i in range(40)]
+    for module in (blocks, common):
+        monkeypatch.setattr(module, "shared_dir", lambda _: str(tmp_path))
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    had = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = suffix_dedup.repeated_spans(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)).collect()
+    finally:
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(_suffix_brute(texts, 200))
+    most = -(-common.bucket_count(0) // blocks.BUCKETS_A_FILE)
+    for name in ("short", "long", "own"):
+        assert 0 < len(list(tmp_path.glob(f"castwork-*/{name}/part-*"))) <= most
+
+
 def test_bloom_lm(rows, docs, empty):
     def words(t):
         return [*(t or "").encode().lower().split(), "end"]
